@@ -38,7 +38,7 @@ class Signal:
 
 #: least is the spread that a group is granted even where nearly all its documents agree.
 SIGNALS = (
-    Signal("symbols", "n_symbols / greatest(n_words, 1)", 4.0, 0.12),
+    Signal("symbols", "n_symbols / greatest(n_words, 1)", 4.0, 0.06),
     Signal("dup_lines", "n_dup_lines / greatest(n_lines, 1)", 4.0, 0.12),
     Signal("repeats", "n_repeat_words / greatest(n_words, 1)", 4.0, 0.045),
     Signal("upper", "n_upper / greatest(word_chars, 1)", 4.0, 0.12),
