@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, quality_rules
+from . import bpe, exact_dedup, minhash, packing, quality_rules
 from .tables import documents
 
 
@@ -22,11 +22,21 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(documents(spark, sf_dir)))
+
+
+def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
         "op2_exact_dedup": op2_exact_dedup,
         "op4_quality_rules": op4_quality_rules,
+        "op7_harmonic_packing": op7_harmonic_packing,
+        "op8_prefix_bpe": op8_prefix_bpe,
     }
 
 
