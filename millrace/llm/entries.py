@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, minhash, packing, quality_rules
+from . import bpe, exact_dedup, minhash, packing, quality_rules, repeats
 from .tables import documents
 
 
@@ -18,6 +18,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir))
 
 
+def op3_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.cut(documents(spark, sf_dir)))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
@@ -34,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_run_length_repeats": op3_run_length_repeats,
         "op4_quality_rules": op4_quality_rules,
         "op7_harmonic_packing": op7_harmonic_packing,
         "op8_prefix_bpe": op8_prefix_bpe,
