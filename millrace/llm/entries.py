@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, minhash, packing, quality_rules, repeats
+from . import bpe, ctw, exact_dedup, minhash, packing, quality_rules, repeats
 from .tables import documents
 
 
@@ -26,6 +26,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(documents(spark, sf_dir))
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(documents(spark, sf_dir)))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_run_length_repeats": op3_run_length_repeats,
         "op4_quality_rules": op4_quality_rules,
+        "op6_context_tree": op6_context_tree,
         "op7_harmonic_packing": op7_harmonic_packing,
         "op8_prefix_bpe": op8_prefix_bpe,
     }
