@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, exact_dedup, minhash, packing, quality_rules, repeats
+from . import bpe, ctw, exact_dedup, minhash, packing, pii, quality_rules, repeats
 from .tables import documents
 
 
@@ -38,6 +38,10 @@ def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.spans(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_context_tree": op6_context_tree,
         "op7_harmonic_packing": op7_harmonic_packing,
         "op8_prefix_bpe": op8_prefix_bpe,
+        "op10_personal_data": op10_personal_data,
     }
 
 
