@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, exact_dedup, minhash, packing, pii, quality_rules, repeats
-from .tables import documents
+from . import bpe, ctw, exact_dedup, minhash, packing, pii, quality_model, quality_rules, repeats, toxicity
+from .tables import documents, labels
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scores(documents(spark, sf_dir))
 
@@ -38,6 +42,10 @@ def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.spans(documents(spark, sf_dir)))
 
@@ -48,9 +56,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_run_length_repeats": op3_run_length_repeats,
         "op4_quality_rules": op4_quality_rules,
+        "op5_attention_quality": op5_attention_quality,
         "op6_context_tree": op6_context_tree,
         "op7_harmonic_packing": op7_harmonic_packing,
         "op8_prefix_bpe": op8_prefix_bpe,
+        "op9_string_kernel_toxicity": op9_string_kernel_toxicity,
         "op10_personal_data": op10_personal_data,
     }
 
