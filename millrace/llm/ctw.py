@@ -32,9 +32,9 @@ from .tables import remainder, written
 DEPTH = 5
 HELD_OUT = (7, 2)
 #: Text bytes of a chunk, whose distinct strings a task holds while it scores the chunk.
-CHUNK = 1 << 26
+CHUNK = 3 << 24
 #: Entries that a writer holds before it lets them go.
-ENTRIES = 6_000_000
+ENTRIES = 2_500_000
 BREAKS = 5000
 WORD = A.U64(1 << 63)
 END_KEY = WORD | A.U64(0x5EED)

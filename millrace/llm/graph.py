@@ -8,29 +8,36 @@ from pyspark.sql import functions as F
 from .tables import written
 
 
+#: Rows for which a partition of their own is worth its task.
+ROWS = 100_000
+
+
+def parts(rows: int) -> int:
+    return max(1, -(-rows // ROWS))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (its smallest node) of every node that has a link. links: a, b.
 
     Alternates the large-star and small-star steps of Kiveris et al. Each step is one aggregate of
     the smallest neighbour, combined before the shuffle, and one join that a skewed node can be split
-    in; the lineage is cut after each round.
+    in; the lineage is cut after each round, and results take no more partitions than their rows are worth.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = written(edges, "links")
-    before = None
-    for _ in range(rounds):
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    before, n = None, edges.count()
+    while n:
+        k = parts(n)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "links")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(k)
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(k)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(k)
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
+        edges = written(small.distinct().coalesce(k), "links")
+        n, check = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (n, check) == before:
             break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+        before, rounds = (n, check), rounds - 1
+        if not rounds:
+            raise RuntimeError("components did not settle")
     # settled: every edge leads from a node to its component's smallest node
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

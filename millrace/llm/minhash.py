@@ -8,11 +8,10 @@ its dart of the lowest rank. About k ln k + 2k darts fill k coordinates, so rank
 number over the document's weight, and the few documents that miss one get twice as many.
 Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Signatures are banded; documents that share a band are candidates. In each band's bucket all are
-compared with one centre, then with the eight best linked ones, and buckets that still hold
-several components are compared across these components: no link is lost to a cap, and a
-group of near copies costs its size, not its square. Links are verified on the whole
-shingle sets, and components of links are the classes.
+Signatures are banded; documents that share a band are candidates. Each document is first compared with the
+centre (the smallest identifier) that it shares most bands with. What these links leave in several components
+within a bucket is compared there, in blocks of bounded size, by exact intersections of the shingle sets; only
+links between components leave a block. So no link is lost to a cap, and no pairs are listed.
 
 A document's words are the runs without ASCII white space, its shingles are its sets of five
 adjacent words (all its words, if it has one to four). Documents of equal words are one
@@ -26,11 +25,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .graph import components
+from .graph import components, parts
 from .tables import texts, written
 
 WORDS, SIMILARITY = 5, 0.8
@@ -145,8 +144,8 @@ def shingles(buf: np.ndarray, offs: np.ndarray, weight: str = "set") -> tuple[np
 
 
 def signed(docs: DataFrame, weight: str = "set") -> DataFrame:
-    """doc_id, text_key (a digest of the words), n_shingles, sig and bands of each document. weight: "set" or "count"."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, text_key (a digest of the words), n_shingles and bands of each document. weight: "set" or "count"."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -156,28 +155,27 @@ def signed(docs: DataFrame, weight: str = "set") -> DataFrame:
                 raw = buf.tobytes()
                 keys = [hashlib.blake2b(A.squeeze(raw[a:b]).strip(b" "), digest_size=16).digest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(band_hashes(sig).ravel()))
-                yield A.batch_of(schema, batch.column(0)[i:j], keys, np.bincount(doc, minlength=j - i), A.fixed(sig), bands)
+                yield A.batch_of(schema, batch.column(0)[i:j], keys, np.bincount(doc, minlength=j - i), bands)
 
-    return texts(docs).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, sig binary, bands array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, bands array<long>")
 
 
-def _likely(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose signatures leave the similarity possible: within five deviations of it."""
-    floor = similarity - 5 * math.sqrt(similarity * (1 - similarity) / K)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _grams(docs: DataFrame) -> DataFrame:
+    """doc_id and its sorted shingle hashes, eight bytes each."""
+    schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(A.flat(batch.column(i))[0], np.uint32).reshape(-1, K) for i in (2, 3))
-            good = (x == y).mean(1) >= floor
-            yield A.batch_of(schema, batch.column(0).to_numpy()[good], batch.column(1).to_numpy()[good])
+            for i, j, buf, offs in A.slabs(batch.column(1)):
+                doc, elements, _ = shingles(buf, offs)
+                ends = np.searchsorted(doc, np.arange(j - i + 1))
+                yield A.batch_of(schema, batch.column(0)[i:j], [elements[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
-    one, two = (sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return docs.mapInArrow(run, "doc_id long, grams binary")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have at least the similarity."""
+    """The pairs a, b whose shingle sets have at least the similarity."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -193,71 +191,99 @@ def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFra
             yield A.batch_of(schema, batch.column(0).to_numpy()[good], batch.column(1).to_numpy()[good])
 
     one, two = (bodies.select(F.col("doc_id").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long")
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long")
+
+
+def block_links(ids: np.ndarray, parts_: np.ndarray, grams: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join all components of a block which the similarity joins: one fewer than the components that become one."""
+    ids, first = np.unique(ids, return_index=True)
+    parts_, grams = parts_[first], [grams[i] for i in first]
+    size = np.array([len(g) for g in grams])
+    owner = np.repeat(np.arange(len(ids)), size)
+    _, code, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    owner, code = owner[shared], np.unique(code[shared], return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    same = np.zeros((len(ids), len(ids)), np.float32)
+    width = 2048
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        a, b = np.searchsorted(code, [at, at + width])
+        hits = np.zeros((len(ids), width), np.float32)
+        hits[owner[a:b], code[a:b] - at] = 1
+        same += hits @ hits.T
+    near = same >= similarity * (size[:, None] + size[None, :] - same)
+    near &= same > 0
+    out, label = [], {int(p): int(p) for p in parts_}
+
+    def root(x):
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in np.flatnonzero(near[i, :i] & (parts_[:i] != parts_[i])).tolist():
+            x, y = root(int(parts_[i])), root(int(parts_[j]))
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                out.append((int(ids[i]), int(ids[j])))
+    return out
 
 
-def _grams(docs: DataFrame) -> DataFrame:
-    """doc_id and its sorted shingle hashes, eight bytes each."""
-    schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.binary())])
+#: Documents and shingles of a block; two blocks meet in a task.
+BLOCK, BLOCK_SHINGLES = 768, 2_000_000
 
-    def run(batches):
-        for batch in batches:
-            for i, j, buf, offs in A.slabs(batch.column(1)):
-                doc, elements, _ = shingles(buf, offs)
-                ends = np.searchsorted(doc, np.arange(j - i + 1))
-                yield A.batch_of(schema, batch.column(0)[i:j], [elements[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
-    return docs.mapInArrow(run, "doc_id long, grams binary")
+def _across(rows: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """Links between the components of each bucket. rows: bucket, doc_id, n, component."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sized = rows.join(rows.groupBy("bucket").agg(blocks.alias("blocks")), "bucket")
+    mine = sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = mine.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component")
+
+    def solve(table: pa.Table) -> pa.Table:
+        ids, parts_ = table["doc_id"].to_numpy(), table["component"].to_numpy()
+        found = []
+        if (parts_ != parts_[0]).any():
+            found = block_links(ids, parts_, [np.frombuffer(g.as_buffer(), np.uint64) for g in table["grams"]], similarity)
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return units.join(bodies.hint("merge"), "doc_id").groupBy("bucket", "i", "j").applyInArrow(solve, "a long, b long")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), n_links (of its text to other texts), class_size, kept.
+    """doc_id, class_id (the smallest doc_id of its class), class_size, kept.
 
-    A row for each row of docs. Rows of equal words share a class and their text's links.
+    A row for each row of docs. Rows of equal words share a class.
     """
     source = texts(docs)
     sigs = written(signed(source), "signatures")
-    reps = sigs.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
-    rep_sigs = sigs.where("n_shingles > 0").join(reps, ["text_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    rows = rep_sigs.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("centre")).where("members > 1")
+    reps = sigs.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    rows = reps.where("n > 0 and rep is not null").select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("centre")).where("members > 1").drop("members")
     live = written(rows.join(shared, "bucket"), "buckets")
-    involved = live.select("doc_id").distinct()
-    bodies = written(_grams(source.join(involved, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "shingles")
-    near_sigs = written(rep_sigs.select("doc_id", "sig").join(involved, "doc_id", "left_semi"), "near-signatures")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-        return written(_verified(_likely(pairs, near_sigs, similarity), bodies, similarity), "near-links")
-
-    links = check(live.select(F.col("doc_id").alias("a"), F.col("centre").alias("b")))
+    k = parts(live.count())
+    # None of these has a proven bound, so none is broadcast at any size: plans, and what they shuffle, stay in proportion to the input.
+    involved = live.select("doc_id").distinct().coalesce(k)
+    bodies = written(_grams(source.join(involved.hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "shingles")
+    met = live.where("doc_id <> centre").groupBy("doc_id", "centre").agg(F.count(F.lit(1)).alias("bands")).coalesce(k)
+    best = met.groupBy(F.col("doc_id").alias("a")).agg(F.max_by("centre", F.struct("bands", -F.col("centre"))).alias("b")).coalesce(k)
+    links = written(_verified(best, bodies, similarity), "near-links")
     part = components(links)
 
-    def unsettled(part: DataFrame) -> DataFrame:
-        """Rows of the buckets that hold more than one component."""
-        known = live.join(part, live.doc_id == part.node, "left").select("doc_id", "bucket", "members", F.coalesce("component", "doc_id").alias("component"))
-        mixed = known.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
-        return known.join(mixed, "bucket", "left_semi")
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
-    open_rows = written(unsettled(part).join(degree, "doc_id", "left").fillna(0, ["degree"]), "unsettled")
-    best = open_rows.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "doc_id"))).where("place <= 8").select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("b_part"))
-    more = check(open_rows.join(best, "bucket").where("component <> b_part").select(F.col("doc_id").alias("a"), "b"))
-    links = written(links.unionByName(more).distinct(), "near-links")
-    part = components(links)
-    rest = written(unsettled(part).where("members > 9"), "unsettled")
-    if not rest.isEmpty():
-        one, two = rest.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("pa")), rest.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("pb"))
-        links = written(links.unionByName(check(one.join(two, "bucket").where("pa < pb").select("a", "b"))).distinct(), "near-links")
-        part = components(links)
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    found = reps.withColumnRenamed("doc_id", "rep").join(part, F.col("rep") == part.node, "left").select("text_key", "rep", F.coalesce("component", "rep").alias("class_id"))
-    found = found.join(degree, F.col("rep") == degree.node, "left").select("text_key", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    known = live.join(part, live.doc_id == part.node, "left").select("doc_id", "n", "bucket", F.coalesce("component", "doc_id").alias("component")).coalesce(4 * k)
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket").coalesce(k)
+    more = written(_across(written(known.join(mixed, "bucket", "left_semi").coalesce(4 * k), "unsettled"), bodies, similarity).distinct().coalesce(k), "near-links")
+    if not more.isEmpty():
+        part = components(links.unionByName(more))
+
+    found = reps.select("text_key", "rep", "copies").join(part, F.col("rep") == part.node, "left").select("text_key", "copies", F.coalesce("component", "rep").alias("class_id"))
+    sizes = found.groupBy("class_id").agg(F.sum("copies").alias("class_size")).withColumnRenamed("class_id", "size_of")
+    found = found.join(sizes, F.col("class_id").eqNullSafe(F.col("size_of"))).select("text_key", "class_id", "class_size")
     named = sigs.select("doc_id", "text_key").join(found, "text_key").drop("text_key")
-    sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).withColumnRenamed("class_id", "size_of")
-    out = named.join(sizes, F.col("class_id").eqNullSafe(F.col("size_of"))).drop("size_of")
-    return out.withColumn("kept", F.coalesce(F.col("doc_id").eqNullSafe(F.col("class_id")), F.lit(False)))
+    return named.withColumn("kept", F.coalesce(F.col("doc_id").eqNullSafe(F.col("class_id")), F.lit(False)))
 
 
 def keep(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -36,7 +36,9 @@ LENGTH, GRAM = 100, 20
 #: Documents longer than this are read in parts that overlap by LENGTH - 1 bytes.
 PART = 1 << 23
 #: Different segments of one anchor above which its windows are settled singly, and bytes of a lot that is indexed.
-HOT, LOT = 5000, 1 << 22
+HOT, LOT = 5000, 1 << 20
+#: Segments that a writer compares with each other, and bytes of contexts it holds, before it lets them go.
+HELD, HELD_BYTES = 250_000, 1 << 21
 _PLACE = A.U64((1 << 24) - 1)
 LAST_ID = np.iinfo(np.int64).max
 
@@ -87,26 +89,32 @@ def _segment_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """key, seg, doc_id, start, n: segments, each writer's first of equals; the others as marks: n negative, key arbitrary."""
     schema = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
+    def settled(found):
+        key, seg, doc, start, n = map(np.concatenate, zip(*found, strict=True))
+        order = np.lexsort((start, doc))
+        key, seg, doc, start, n = key[order], seg[order], doc[order], start[order], n[order]
+        both = A.mix(key) ^ seg
+        _, first, back = np.unique(both, return_index=True, return_inverse=True)
+        lead = first[back]
+        later = lead != np.arange(len(both))
+        n[later] *= -1
+        key[later] = A.mix(doc[later].astype(A.U64) + start[later].astype(A.U64))
+        real = ~(later & (doc == doc[lead]) & (start == start[lead]))  # the same occurrence again
+        return A.batch_of(schema, key.view(np.int64)[real], seg.view(np.int64)[real], doc[real], start[real], n[real])
+
     def run(batches):
         for batch in batches:
             ids = batch.column(0).fill_null(LAST_ID).to_numpy(zero_copy_only=False)
-            found = []
+            found, size = [], 0
             for i, _, buf, offs, skipped in _parts(batch.column(1), length):
                 key, seg, doc, start, n = segments(buf, offs, length, gram)
                 found.append((key, seg, ids[i + doc], start + skipped, n))
-            if not found:
-                continue
-            key, seg, doc, start, n = map(np.concatenate, zip(*found, strict=True))
-            order = np.lexsort((start, doc))
-            key, seg, doc, start, n = key[order], seg[order], doc[order], start[order], n[order]
-            both = A.mix(key) ^ seg
-            _, first, back = np.unique(both, return_index=True, return_inverse=True)
-            lead = first[back]
-            later = lead != np.arange(len(both))
-            n[later] *= -1
-            key[later] = A.mix(doc[later].astype(A.U64) + start[later].astype(A.U64))
-            real = ~(later & (doc == doc[lead]) & (start == start[lead]))  # the same occurrence again
-            yield A.batch_of(schema, key.view(np.int64)[real], seg.view(np.int64)[real], doc[real], start[real], n[real])
+                size += len(key)
+                if size > HELD:
+                    yield settled(found)
+                    found, size = [], 0
+            if found:
+                yield settled(found)
 
     return docs.mapInArrow(run, "key long, seg long, doc_id long, start int, n int")
 
@@ -257,7 +265,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, held = [], 0
             for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = text.as_buffer() if text.is_valid else b""
                 sums = None
@@ -265,12 +273,17 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     start, n = s["start"], s["n"]
                     if not s["hot"]:
                         out.append((s["key"], None, doc_id, start, bytes(raw[start : start + n + length - 1])))
+                        held += n + length + 100
                         continue
                     if sums is None:
                         sums = A.prefix_hash(np.frombuffer(raw, np.uint8))
                     at = np.arange(start, start + n)
                     for p, h in zip(at.tolist(), A.span_hash(sums, at, at + length).view(np.int64).tolist(), strict=True):
                         out.append((s["key"], h, doc_id, p, None))
+                    held += 100 * n
+                if held > HELD_BYTES:
+                    yield A.batch_of(schema, *map(list, zip(*out, strict=True)))
+                    out, held = [], 0
             if out:
                 yield A.batch_of(schema, *map(list, zip(*out, strict=True)))
 
@@ -349,7 +362,7 @@ def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT)
                     s, n = _runs(gone)
                     out.append((doc_id, len(raw), s.tolist(), (s + n).tolist(), raw[~gone].tobytes()))
                 held += len(raw)
-                if held > 1 << 24:
+                if held > HELD_BYTES:
                     yield A.batch_of(schema, *map(list, zip(*out, strict=True)))
                     out, held = [], 0
             if out:
