@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..profiles import LATIN, WS, WS_CHARS, ScriptProfile
 
@@ -117,7 +118,7 @@ def tighten_punctuation(c: Column | str) -> Column:
     return F.regexp_replace(_text(c), r"(?U)\s+([,!?\"\-%'.])", "$1")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode's composed form; Spark has no function for it."""
     import unicodedata

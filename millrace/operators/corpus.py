@@ -119,18 +119,3 @@ def audit(lines: DataFrame, profile: ScriptProfile = LATIN, most: int | None = N
     copies = first_of_equals(lines.where(full), order).where(~F.col("kept")).select(*order, F.lit("duplicate").alias("check"), F.lit("duplicate").alias("reason"), "line")
     out = out.unionByName(copies)
     return sample_each(out, "check", most, order=order) if most else out
-
-
-def contaminated(docs: DataFrame, held_out: DataFrame) -> DataFrame:
-    """doc_id and item_id where a held-out text of at least eight words begins a window of a document's words."""
-    n = 8
-
-    def heads(df: DataFrame, key: str) -> DataFrame:
-        words = F.split(F.btrim(F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "))), " ")
-        df = df.select(key, words.alias("w")).where(F.size("w") >= n)
-        return df
-
-    items = heads(held_out, "item_id").select("item_id", F.array_join(F.slice("w", 1, n), " ").alias("gram"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
-    own = heads(docs, "doc_id").select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
-    return own.join(items, "gram").select("doc_id", "item_id").distinct()

@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 from ..profiles import LATIN, ScriptProfile
@@ -99,7 +100,7 @@ def _page_lines(html: str | None) -> list[str]:
         return []
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def html_lines(s: pd.Series) -> pd.Series:
     return s.map(_page_lines)
 
