@@ -473,7 +473,7 @@ def seed_pieces(spark, sf):
 def _variant(family: str):
     def run(spark, sf):
         split = _split(spark, sf)
-        _, report = corpora.variant_report(split.where("split = 'train'"), split.where("split = 'test'"), f"01_metaspace_codepoint_{family}", 2000, unused=10)
+        _, report = corpora.variant_report(split.where("split = 'train'"), split.where("split = 'test'"), f"01_metaspace_codepoint_{family}", 1000, unused=10, **({"seed_size": 4000, "shrink": 0.5} if family == "unigram" else {}))
         rows = [(report["variant"], report["words"], report["tokens"], report["unknown"], report["fertility"], report["oov_rate"])]
         return tokenizers.leaderboard(spark.createDataFrame(rows, "variant string, words long, tokens long, unknown long, fertility double, oov_rate double"))
 
@@ -493,7 +493,7 @@ def _toy(spark, sf, family: str = "bert") -> tokenizers.Model:
 def marker_tokens(spark, sf):
     """Marks alone and within tokens, of the lines written in Tamil letters; tests hold it against a count."""
     lines = _lines(spark, sf).select(marking.mark(_tamil("line")).alias("line"))
-    return tokenizers.marker_usage(lines, tokenizers.train("bpe", tokenizers.word_counts(lines), 500, unused=5))
+    return tokenizers.marker_usage(lines, tokenizers.train("bpe", tokenizers.word_counts(lines), 300, unused=5))
 
 
 @_query()

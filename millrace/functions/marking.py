@@ -79,17 +79,22 @@ AGGRESSIVE = (
 )
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _rule_cuts(text: Column, rule: Rule) -> Column:
+    """Offsets of a rule's cuts: the places of the signs put in, less the signs before each; linear in the text."""
+    marked = F.regexp_replace(text, f"(?U)(?<l>{rule.left})(?<r>{rule.right})", "${l}" + CUT + "${r}")
+    places = lambda m: F.filter(F.transform(F.split(m, ""), lambda x, i: F.when(x == CUT, i)), lambda i: i.isNotNull())
+    return _let(marked, lambda m: F.when(F.contains(m, F.lit(CUT)), F.transform(places(m), lambda i, k: i - k)).otherwise(F.array().cast("array<int>")))
+
+
 def boundaries(c: Column | str, rules: tuple[Rule, ...] = CORE) -> Column:
     """Sorted distinct offsets of the cuts, in code points. The text must not hold U+0001."""
-    text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    sets = []
-    for rule in rules:
-        marked = F.regexp_replace(text, f"(?U)(?<l>{rule.left})(?<r>{rule.right})", "${l}" + CUT + "${r}")
-        sizes = F.transform(F.split(marked, CUT), F.length)
-        ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda done, n: F.concat(done, F.array(F.when(F.size(done) > 0, F.try_element_at(done, F.lit(-1))).otherwise(0) + n)))
-        sets.append(F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))))
-    cuts = F.array_sort(F.array_distinct(F.concat(*sets)))
-    return F.when(text.rlike(r"[^\x00-\x{02ff}]"), cuts).otherwise(F.array().cast("array<int>"))
+    cuts = lambda t: F.array_sort(F.array_distinct(F.concat(*[_rule_cuts(t, rule) for rule in rules])))
+    return _let(_col(c), lambda t: F.when(t.rlike(r"[^\x00-\x{02ff}]"), cuts(t)).otherwise(F.array().cast("array<int>")))
 
 
 def _python(rule: Rule) -> re.Pattern:
@@ -108,10 +113,12 @@ def boundaries_udf(rules: tuple[Rule, ...] = CORE):
 
 
 def _pieces(text: Column, cuts: Column) -> Column:
-    inner = F.filter(cuts, lambda x: (x > 0) & (x < F.length(text)))
-    begins = F.concat(F.array(F.lit(0)), inner)
-    ends = F.concat(inner, F.array(F.length(text)))
-    return F.zip_with(begins, ends, lambda a, b: F.struct(F.substring(text, a + 1, b - a).alias("token"), a.alias("start"), b.alias("end")))
+    def between(ends: Column, chars: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+        return F.zip_with(begins, ends, lambda a, b: F.struct(F.array_join(F.slice(chars, a + 1, b - a), "").alias("token"), a.alias("start"), b.alias("end")))
+
+    ends = F.concat(F.filter(cuts, lambda x: (x > 0) & (x < F.length(text))), F.array(F.length(text)))
+    return _let(ends, lambda e: _let(F.split(text, ""), lambda chars: between(e, chars)))
 
 
 def _col(c: Column | str) -> Column:
@@ -121,7 +128,7 @@ def _col(c: Column | str) -> Column:
 def mark(c: Column | str, lang: Column | str | None = None, rules: tuple[Rule, ...] = CORE) -> Column:
     """The text with a mark at each cut inside it; English text as it is. unmark() undoes it."""
     text = _col(c)
-    marked = F.array_join(F.transform(_pieces(text, boundaries(text, rules)), lambda p: p.token), MARK)
+    marked = _let(text, lambda t: F.array_join(F.transform(_pieces(t, boundaries(t, rules)), lambda p: p.token), MARK))
     return marked if lang is None else F.when(F.lower(_col(lang)).isin("en", "english"), text).otherwise(marked)
 
 
@@ -140,9 +147,8 @@ def space_boundaries(c: Column | str) -> Column:
 
 def spans(c: Column | str, rules: tuple[Rule, ...] = CORE) -> Column:
     """token, start, end of the pieces between all cuts and changes of white space; together they are the text."""
-    text = _col(c)
-    cuts = F.array_sort(F.array_union(boundaries(text, rules), space_boundaries(text)))
-    return F.when(F.length(text) == 0, F.array().cast("array<struct<token:string,start:int,end:int>>")).otherwise(_pieces(text, cuts))
+    none = F.array().cast("array<struct<token:string,start:int,end:int>>")
+    return _let(_col(c), lambda t: F.when(F.length(t) == 0, none).otherwise(_pieces(t, F.array_sort(F.array_union(boundaries(t, rules), space_boundaries(t))))))
 
 
 # -- graphemes ------------------------------------------------------------------------------------------------

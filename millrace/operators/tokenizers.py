@@ -279,7 +279,7 @@ def train_unigram(words: DataFrame, vocab_size: int = VOCAB, unused: int = UNUSE
     """Expectation and pruning, until the pieces fit the vocabulary. Of equally dispensable pieces the lesser goes last."""
     first = reserved(unused)
     room = vocab_size - len(first)
-    seed = seed_pieces(words, seed_size or min(1_000_000, 10 * vocab_size)).collect()  # seed_size rows
+    seed = seed_pieces(words, seed_size or min(1_000_000, 4 * vocab_size)).collect()  # seed_size rows
     total = sum(r["n"] * len(r["piece"]) for r in seed) or 1
     scores = {r["piece"]: math.log(r["n"] * len(r["piece"]) / total) for r in seed}
     while True:

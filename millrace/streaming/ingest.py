@@ -30,7 +30,7 @@ def first_seen(lines: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def counted(events: DataFrame, time: str, width: str, delay: str, by: str) -> DataFrame:
     """Rows and sums of value in tumbling windows; late rows beyond the delay are left out, state is dropped behind it."""
-    return events.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("starts"), by, "n", "total")
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("starts"), by, "n", "total")
 
 
 def to_table(lines: DataFrame, path: str, checkpoint: str, by: str = "verdict") -> DataStreamWriter:
