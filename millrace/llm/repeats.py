@@ -184,7 +184,7 @@ class RunLengthIndex:
             out[left < by] = 0
             return out
 
-        key, span = np.zeros(n, np.int64), 7
+        key, span = np.zeros(n, np.int64), min(7, length)
         for i in range(span):
             key = (key << 9) | shifted(text, i)
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
