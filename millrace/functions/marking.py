@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..profiles import WS_CHARS
 
 MARK, CUT = "⟂", "\x01"
+#: Cuts of a rule in a line up to which their offsets are added up one by one.
+FEW = 64
 FIRST_PLACEHOLDER, MOST_PLACEHOLDERS = 0xE000, 6400
 
 V = "[அஆஇஈஉஊஎஏஐஒஓஔ]"
@@ -85,10 +87,15 @@ def _let(value: Column, use) -> Column:
 
 
 def _rule_cuts(text: Column, rule: Rule) -> Column:
-    """Offsets of a rule's cuts: the places of the signs put in, less the signs before each; linear in the text."""
+    """Offsets of a rule's cuts: the lengths of the parts between the signs put in, summed up."""
     marked = F.regexp_replace(text, f"(?U)(?<l>{rule.left})(?<r>{rule.right})", "${l}" + CUT + "${r}")
-    places = lambda m: F.filter(F.transform(F.split(m, ""), lambda x, i: F.when(x == CUT, i)), lambda i: i.isNotNull())
-    return _let(marked, lambda m: F.when(F.contains(m, F.lit(CUT)), F.transform(places(m), lambda i, k: i - k)).otherwise(F.array().cast("array<int>")))
+    none = F.array().cast("array<int>")
+    add = lambda done, part: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + F.length(part)))
+    few = lambda parts: F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), none, add)
+    # of many parts, their sums would be copied too often: the signs' own places, less the signs before each
+    signs = lambda m: F.filter(F.transform(F.split(m, ""), lambda x, i: F.when(x == CUT, i)), lambda i: i.isNotNull())
+    many = lambda m: F.transform(signs(m), lambda i, k: i - k)
+    return _let(marked, lambda m: F.when(~F.contains(m, F.lit(CUT)), none).otherwise(_let(F.split(m, CUT), lambda parts: F.when(F.size(parts) <= FEW, few(parts)).otherwise(many(m)))))
 
 
 def boundaries(c: Column | str, rules: tuple[Rule, ...] = CORE) -> Column:

@@ -15,6 +15,7 @@ from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,65 +115,64 @@ class _Merges:
                 self.where[pair].add(i)
 
     def merge(self, pair: tuple[str, str], new: str) -> set[tuple[str, str]]:
-        """Returns the pairs whose counts have changed."""
-        changed = set()
-        for i in self.where.pop(pair):
-            symbols, n = self.words[i]
-            before = list(zip(symbols, symbols[1:]))
-            out, k = [], 0
-            while k < len(symbols):
-                if k + 1 < len(symbols) and (symbols[k], symbols[k + 1]) == pair:
-                    out.append(new)
-                    self.single[pair[0]] -= n
-                    self.single[pair[1]] -= n
-                    self.single[new] += n
-                    k += 2
-                else:
-                    out.append(symbols[k])
-                    k += 1
-            after = list(zip(out, out[1:]))
-            self.words[i] = (out, n)
-            for p in before:
-                self.count[p] -= n
-            for p in after:
-                self.count[p] += n
-            gone, come = set(before) - set(after), set(after)
-            for p in gone:
-                self.where[p].discard(i) if p in self.where else None
-            for p in come:
-                self.where[p].add(i)
-            changed |= set(before) ^ come | (set(before) & come)
-        self.count.pop(pair, None)
-        changed.discard(pair)
-        return changed
+        """Returns the pairs that have come; counts of others can only have fallen. where may keep words that have lost a pair."""
+        a, b = pair
+        count, where, come, times = self.count, self.where, set(), 0
+        for w in where.pop(pair):
+            symbols, n = self.words[w]
+            k = 0
+            while k < len(symbols) - 1:
+                if symbols[k] == a and symbols[k + 1] == b:
+                    symbols[k : k + 2] = [new]
+                    times += n
+                    if k:
+                        count[symbols[k - 1], a] -= n
+                        p = symbols[k - 1], new
+                        count[p] += n
+                        where[p].add(w)
+                        come.add(p)
+                    if k + 1 < len(symbols):
+                        count[b, symbols[k + 1]] -= n
+                        p = new, symbols[k + 1]
+                        count[p] += n
+                        where[p].add(w)
+                        come.add(p)
+                k += 1
+        for symbol, change in ((a, -times), (b, -times), (new, times)):
+            self.single[symbol] += change
+        count.pop(pair, None)
+        come.discard(pair)
+        return come
 
 
 def _learn_merges(words: list[tuple[list[str], int]], room: int, alphabet: Iterable[str], glue, score: str) -> tuple[list[str], list[tuple[str, str]]]:
     """Learnt tokens and merges. Of equal scores the lesser pair comes first."""
     state = _Merges(words)
-    tokens = dict.fromkeys(alphabet)
+    tokens, merges = dict.fromkeys(alphabet), []
 
-    def worth(pair):
-        n = state.count.get(pair, 0)
-        return n if score == "freq" else n / (state.single[pair[0]] * state.single[pair[1]]) if n else 0
+    def apply(pair):
+        new = glue(*pair)
+        tokens.setdefault(new)
+        merges.append(pair)
+        return state.merge(pair, new)
 
-    heap = [(-worth(p), p) for p in state.count]
+    if score == "likelihood":  # a merge raises the scores of pairs that it doesn't touch, so all are looked at
+        while len(tokens) < room and (live := [(-n / (state.single[p[0]] * state.single[p[1]]), p) for p, n in state.count.items() if n > 0]):
+            apply(min(live)[1])
+        return list(tokens), merges
+    heap = [(-n, p) for p, n in state.count.items() if n > 0]
     heapq.heapify(heap)
-    merges = []
     while len(tokens) < room and heap:
         value, pair = heapq.heappop(heap)
-        now = worth(pair)
+        now = state.count.get(pair, 0)
         if now <= 0:
             continue
         if -value != now:  # out of date
             heapq.heappush(heap, (-now, pair))
             continue
-        new = glue(*pair)
-        tokens.setdefault(new)
-        merges.append(pair)
-        for p in state.merge(pair, new):
-            if (w := worth(p)) > 0:
-                heapq.heappush(heap, (-w, p))
+        for p in apply(pair):
+            if (n := state.count.get(p, 0)) > 0:
+                heapq.heappush(heap, (-n, p))
     return list(tokens), merges
 
 
@@ -202,51 +202,67 @@ def train_wordpiece(words: DataFrame, vocab_size: int = VOCAB, unused: int = UNU
     return Model("bert", {t: i for i, t in enumerate([*first, *tokens])}, tuple(merges))
 
 
-def _lattice(word: str, scores: dict[str, float], longest: int):
-    """(start, end, score) of the pieces of a word; a character that no piece covers is one of its own."""
-    floor = min(scores.values(), default=0.0) - 10
-    for a in range(len(word)):
-        for b in range(a + 1, min(len(word), a + longest) + 1):
-            s = scores.get(word[a:b])
-            if s is not None:
-                yield a, b, s
-            elif b == a + 1:
-                yield a, b, floor
-
-
-def viterbi(word: str, scores: dict[str, float], longest: int | None = None) -> list[str]:
+class _Lattice:
+    """The pieces that lie in a word; a character that no piece covers is one of its own."""
+
+    def __init__(self, scores: dict[str, float]):
+        self.floor = min(scores.values(), default=0.0) - 10
+        self.single = {p for p in scores if len(p) == 1}
+        self.automaton = ahocorasick.Automaton()
+        for p, s in scores.items():
+            self.automaton.add_word(p, (len(p), s))
+        if scores:
+            self.automaton.make_automaton()
+
+    def arcs(self, word: str) -> list[tuple[int, int, float]]:
+        """(start, end, score) by end, the longest first."""
+        out = [(e + 1 - n, e + 1, s) for e, (n, s) in self.automaton.iter(word)] if len(self.automaton) else []
+        odd = [(i, i + 1, self.floor) for i, c in enumerate(word) if c not in self.single]
+        return sorted(out + odd, key=lambda x: x[1]) if odd else out
+
+    def best(self, word: str) -> list[str]:
+        best = [0.0] + [-math.inf] * len(word)
+        back = [0] * (len(word) + 1)
+        for a, b, s in self.arcs(word):
+            if best[a] + s > best[b]:
+                best[b], back[b] = best[a] + s, a
+        out, end = [], len(word)
+        while end:
+            out.append(word[back[end] : end])
+            end = back[end]
+        return out[::-1]
+
+    def without(self, piece: str) -> float:
+        """The best score of a piece's characters if it weren't there itself."""
+        best = [0.0] + [-math.inf] * len(piece)
+        for a, b, s in self.arcs(piece):
+            if b - a < len(piece) and best[a] + s > best[b]:
+                best[b] = best[a] + s
+        return best[-1]
+
+    def expect(self, word: str, n: int, out: dict[str, float]) -> None:
+        """Adds each piece's expected count. Sums are scaled by the best path's score, so long words don't underflow."""
+        arcs, m = self.arcs(word), len(word)
+        best = [0.0] + [-math.inf] * m
+        for a, b, s in arcs:
+            if best[a] + s > best[b]:
+                best[b] = best[a] + s
+        ahead, behind = [1.0] + [0.0] * m, [0.0] * m + [1.0]
+        share = [math.exp(best[a] + s - best[b]) for a, b, s in arcs]  # of the best path to the same place
+        for (a, b, _), p in zip(arcs, share, strict=True):  # by end: all that ends at a has been added
+            ahead[b] += ahead[a] * p
+        for (a, b, _), p in zip(reversed(arcs), reversed(share), strict=True):
+            behind[a] += behind[b] * p
+        whole = n / ahead[m]
+        for (a, b, _), p in zip(arcs, share, strict=True):
+            p *= ahead[a] * behind[b] * whole
+            if p > 1e-12:
+                out[word[a:b]] += p
+
+
+def viterbi(word: str, scores: dict[str, float]) -> list[str]:
     """The pieces of the most likely segmentation; of equals, the one whose last piece begins first."""
-    longest = longest or max(map(len, scores), default=1)
-    best = [0.0] + [-math.inf] * len(word)
-    back = [0] * (len(word) + 1)
-    for a, b, s in _lattice(word, scores, longest):
-        if best[a] + s > best[b]:
-            best[b], back[b] = best[a] + s, a
-    out, end = [], len(word)
-    while end:
-        out.append(word[back[end] : end])
-        end = back[end]
-    return out[::-1]
-
-
-def _expected(word: str, n: int, scores: dict[str, float], longest: int, out: dict[str, float]) -> float:
-    """Adds each piece's expected count; returns the word's log likelihood."""
-    arcs = list(_lattice(word, scores, longest))
-    m = len(word)
-    ahead, behind = [0.0] + [-math.inf] * m, [-math.inf] * m + [0.0]
-
-    def plus(x, y):
-        return x if y == -math.inf else y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
-
-    for a, b, s in arcs:  # by start: all that ends at a has been added
-        ahead[b] = plus(ahead[b], ahead[a] + s)
-    for a, b, s in reversed(arcs):
-        behind[a] = plus(behind[a], behind[b] + s)
-    for a, b, s in arcs:
-        p = math.exp(ahead[a] + s + behind[b] - ahead[m])
-        if p > 1e-12:
-            out[word[a:b]] += n * p
-    return ahead[m]
+    return _Lattice(scores).best(word)
 
 
 def expected_counts(words: DataFrame, scores: dict[str, float]) -> DataFrame:
@@ -256,11 +272,10 @@ def expected_counts(words: DataFrame, scores: dict[str, float]) -> DataFrame:
 
     def run(batches):
         held: dict[str, float] = defaultdict(float)
-        table = shared.value
-        longest = max(map(len, table), default=1)
+        lattice = _Lattice(shared.value)
         for batch in batches:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                _expected(word, n, table, longest, held)
+                lattice.expect(word, n, held)
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.float64())], schema=schema)
 
@@ -291,13 +306,10 @@ def train_unigram(words: DataFrame, vocab_size: int = VOCAB, unused: int = UNUSE
             scores = {p: math.log(n / whole) for p, n in kept.items()}
         if len(scores) <= room:
             break
-        longest = max(map(len, scores))
-        loss = {}
+        lattice, loss = _Lattice(scores), {}
         for p, n in kept.items():
             if len(p) > 1:
-                s = scores.pop(p)
-                loss[p] = n * (s - sum(scores.get(x, -30.0) for x in viterbi(p, scores, longest)))
-                scores[p] = s
+                loss[p] = n * (scores[p] - lattice.without(p))
         keep = max(room, int(shrink * len(scores))) - (len(scores) - len(loss))
         if keep <= 0:  # characters alone
             scores = {p: s for p, s in scores.items() if len(p) == 1}
@@ -328,6 +340,7 @@ class Encoder:
         self.rank = {p: i for i, p in enumerate(model.merges)}
         self.longest = max(map(len, model.vocab), default=1)
         self.one = {"bert": self._wordpiece, "bpe": self._bpe, "unigram": self._unigram}[model.family]
+        self.lattice = _Lattice(model.scores) if model.family == "unigram" else None
         self.seen: dict[str, list[int]] = {}
 
     def __call__(self, word: str) -> list[int]:
@@ -384,7 +397,7 @@ class Encoder:
 
     def _unigram(self, word: str) -> list[int]:
         out = []
-        for p in viterbi(word, self.model.scores, self.longest):
+        for p in self.lattice.best(word):
             i = self.vocab.get(p, self.unk)
             if not (i == self.unk and out and out[-1] == self.unk):  # adjacent unknowns are one
                 out.append(i)
