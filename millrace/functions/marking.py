@@ -208,9 +208,15 @@ VARIANTS = {
 }
 
 
+def variants(only: str | None = None) -> dict[str, dict]:
+    """The variants, or the one named; none of that name is an error."""
+    found = {k: v for k, v in VARIANTS.items() if only is None or k == only}
+    if not found:
+        raise ValueError(f"unknown variant {only!r}")
+    return found
+
+
 def preprocessor(variant: str, table: dict[str, str] | None = None, saved: bool = False):
     """The preprocessing of a variant; of a saved relabelled vocabulary, without placeholders. Unknown names are errors."""
-    if variant not in VARIANTS:
-        raise ValueError(f"unknown variant {variant!r}")
-    v = VARIANTS[variant]
+    v = variants(variant)[variant]
     return lambda c, lang=None: preprocess(c, v["use_sandhi"], v["use_grapheme"] and not (saved and v["relabel"]), table, lang)

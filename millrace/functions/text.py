@@ -126,6 +126,11 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x) if isinstance(x, str) else "")
 
 
+def not_composed(c: Column | str) -> Column:
+    """Whether the text differs from its composed form: an earlier definition of an anomaly."""
+    return nfc(c) != _text(c)
+
+
 def normalise(c: Column | str) -> Column:
     """Stripped, composed, with runs of marks collapsed."""
     return collapse_punctuation(nfc(strip(c)))

@@ -54,14 +54,17 @@ def _rank_key(seed: int, order: tuple[str, ...]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in order]))
 
 
-def exact_split(lines: DataFrame, share: float = 0.1, seed: int = 42, order: tuple[str, ...] = ORDER) -> DataFrame:
+def exact_split(lines: DataFrame, share: float = 0.1, seed: int = 42, order: tuple[str, ...] = ORDER, train_down: bool = False) -> DataFrame:
     """split: exactly floor(share * rows) test rows, chosen by a seeded hash of their place; the rest train.
 
+    With train_down it is the train rows that are rounded down.
+
     The boundary is found from a histogram of the hash's first 16 bits and one bucket of it; there is no window over all rows.
     """
     keyed = lines.withColumn("_key", _rank_key(seed, order)).withColumn("_bucket", F.conv(F.substring("_key", 1, 4), 16, 10).cast("int"))
     counts = sorted((r["_bucket"], r["count"]) for r in keyed.groupBy("_bucket").count().collect())  # 65,536 rows at most
-    left = int(share * sum(n for _, n in counts))
+    rows = sum(n for _, n in counts)
+    left = rows - int((1 - share) * rows) if train_down else int(share * rows)
     for bucket, n in counts:
         if left < n:
             break

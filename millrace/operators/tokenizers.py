@@ -512,6 +512,19 @@ def leaderboard(metrics: DataFrame) -> DataFrame:
 # -- storage ----------------------------------------------------------------------------------------------------
 
 
+def from_json(text: str) -> Model:
+    """A model from what as_json wrote, or any object of that form; merges may be pairs or strings parted by a space."""
+    body = json.loads(text)["model"]
+    family = {"WordPiece": "bert", "BPE": "bpe", "Unigram": "unigram"}.get(body.get("type"))
+    if family is None:
+        raise ValueError(f"unknown model type {body.get('type')!r}")
+    if family == "unigram":
+        pieces_ = body["vocab"]
+        return Model(family, {t: i for i, (t, _) in enumerate(pieces_)}, (), {t: s for t, s in pieces_ if t not in SPECIALS and not t.startswith("[unused")})
+    merges = tuple(tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in body.get("merges", ()))
+    return Model(family, body["vocab"], merges)
+
+
 def save(spark: SparkSession, model: Model, path: str) -> None:
     """vocab and merges as Parquet, the family as JSON beside them."""
     token_table(spark, model).coalesce(1).write.mode("overwrite").parquet(f"{path}/vocab")
@@ -531,6 +544,6 @@ def load(spark: SparkSession, path: str) -> Model:
 def as_json(model: Model) -> str:
     """The model as one JSON object."""
     body = {"type": {"bert": "WordPiece", "bpe": "BPE", "unigram": "Unigram"}[model.family], "vocab": [[t, model.scores.get(t, 0.0)] for t in model.tokens] if model.family == "unigram" else model.vocab}
-    if model.family == "bpe":
+    if model.merges:
         body["merges"] = [list(p) for p in model.merges]
     return json.dumps({"model": body}, ensure_ascii=False)

@@ -86,6 +86,7 @@ def test_split_sizes(spark, n):
     lines = _lines(spark, [f"line {i}" for i in range(n)])
     got = corpus.exact_split(lines)
     assert got.where("split = 'test'").count() == n // 10 and got.where("split = 'train'").count() == n - n // 10
+    assert corpus.exact_split(lines, train_down=True).where("split = 'train'").count() == int(0.9 * n)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, corpus.exact_split(lines.repartition(3)).collect()))
 
 
