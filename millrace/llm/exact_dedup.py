@@ -27,6 +27,8 @@ MEMTABLE_ENTRIES = 65_536
 #: A digest's length in bits; tests shorten it to see collisions.
 DIGEST_BITS = 256
 FANOUT = 8
+#: Rows of a digest that one task may be given together.
+SALT = 1000
 
 RUN = "digest binary, sha binary, doc_id long, first_id long, n long"
 
@@ -125,16 +127,18 @@ def classes(docs: DataFrame, digest_bits: int = DIGEST_BITS, entries: int = MEMT
     flushed = index.append(source)
     # Compaction's order: the smallest identifier of a digest leads; its rows are hits of that leader.
     leaders = flushed.groupBy("digest").agg(F.min("first_id").alias("lead_id"), F.count(F.lit(1)).alias("rows"))
-    looked = flushed.join(leaders, "digest")
+    # Of n rows at most 1000 digests have over n / 1000, so these are known to be few whatever the size; they meet their rows where those are.
+    hot = F.broadcast(written(leaders.where(F.col("rows") > max(SALT, flushed.count() // 1000)), "hot-digests"))
+    looked = flushed.join(hot, "digest").unionByName(flushed.join(hot.select("digest"), "digest", "left_anti").join(leaders, "digest"))
     alone = looked.where("rows = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-    hits = looked.where("rows > 1").groupBy("digest", "sha", "doc_id", "lead_id").agg(F.count(F.lit(1)).alias("copies"))
+    hits = looked.where("rows > 1").groupBy("digest", "sha", "doc_id", "lead_id").agg(F.count(F.lit(1)).alias("copies"), F.ceil(F.max("rows") / SALT).cast("int").alias("salts"))
+    hits = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
     checked = written(_verified(source, hits), "exact-hits")
-    sizes = checked.groupBy("digest", "part").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    checked = checked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    same = [checked.digest.eqNullSafe(sizes.digest), checked.part.eqNullSafe(sizes.part)]
+    sizes = checked.groupBy("digest", "part").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"), F.max("salts").alias("salts"))
+    salted = sizes.select("digest", "part", "keep_id", "group_size", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     # keep_id's own row stays; where a doc_id is repeated within the group, all its rows are the same document.
-    many = checked.join(sizes, same[0] & same[1]).select(
-        checked.doc_id, sizes.keep_id, sizes.group_size, F.coalesce(checked.doc_id.eqNullSafe(sizes.keep_id), F.lit(False)).alias("kept"), F.lower(F.hex(checked.sha)).alias("text_sha256")
+    many = checked.join(salted, ["digest", "part", "salt"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
+        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
     return alone.unionByName(many)
 
@@ -143,26 +147,27 @@ def _verified(source: DataFrame, hits: DataFrame) -> DataFrame:
     """hits with part: empty for rows whose bytes equal their leader's, else the row's own SHA-256.
 
     Each row of a hit is compared with the leader of its digest, never with all others: rows that
-    differ from the leader fall apart by the hash of their own bytes. Every row meets one
-    leader, so a hot digest is many small comparisons that a skewed join can be split by.
+    differ from the leader fall apart by the hash of their own bytes. The leader's text is sent once for each SALT
+    rows of its digest, so a hot digest is many small comparisons in many tasks.
     """
-    lead = hits.select("digest", "lead_id").distinct()
+    lead = hits.groupBy("digest", "lead_id").agg(F.max("salts").alias("salts"))
     body = source.select("doc_id", F.col("text").alias("body"))
-    lead_text = lead.join(body, F.col("lead_id").eqNullSafe(F.col("doc_id"))).groupBy("digest").agg(F.min("body").alias("lead_body"))
-    own = hits.join(body.withColumnRenamed("doc_id", "body_id"), F.col("doc_id").eqNullSafe(F.col("body_id"))).select("digest", "sha", "doc_id", "copies", "body")
-    pairs = own.join(lead_text, "digest", "left")
-    schema = pa.schema([("digest", pa.binary()), ("sha", pa.binary()), ("doc_id", pa.int64()), ("copies", pa.int64()), ("part", pa.binary())])
+    lead_text = lead.join(body, F.col("lead_id").eqNullSafe(F.col("doc_id"))).groupBy("digest", "salts").agg(F.min("body").alias("lead_body"))
+    lead_text = lead_text.select("digest", "lead_body", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    own = hits.join(body.withColumnRenamed("doc_id", "body_id"), F.col("doc_id").eqNullSafe(F.col("body_id"))).select("digest", "salt", "salts", "sha", "doc_id", "copies", "body")
+    pairs = own.join(lead_text, ["digest", "salt"], "left")
+    schema = pa.schema([("digest", pa.binary()), ("sha", pa.binary()), ("doc_id", pa.int64()), ("copies", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("part", pa.binary())])
 
     def run(batches):
         for batch in batches:
             rows = []
-            for digest, sha, i, copies, x, y in zip(*(batch.column(k).cast(pa.binary()).to_pylist() if k > 3 else batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for digest, sha, i, copies, salt, salts, x, y in zip(*(batch.column(k).cast(pa.binary()).to_pylist() if k > 5 else batch.column(k).to_pylist() for k in range(8)), strict=True):
                 x, y = A.squeeze(x or b""), A.squeeze(y or b"")
                 if x == y or hashlib.sha256(x).digest() == sha:  # else another text that has this doc_id too
-                    rows.append((digest, sha, i, copies, b"" if x == y else sha))
-            yield A.batch_of(schema, *(map(list, zip(*rows, strict=True)) if rows else [[]] * 5))
+                    rows.append((digest, sha, i, copies, salt, salts, b"" if x == y else sha))
+            yield A.batch_of(schema, *(map(list, zip(*rows, strict=True)) if rows else [[]] * 7))
 
-    found = pairs.select("digest", "sha", "doc_id", "copies", "body", "lead_body").mapInArrow(run, "digest binary, sha binary, doc_id long, copies long, part binary")
+    found = pairs.select("digest", "sha", "doc_id", "copies", "salt", "salts", "body", "lead_body").mapInArrow(run, "digest binary, sha binary, doc_id long, copies long, salt int, salts int, part binary")
     return found.dropDuplicates(["digest", "sha", "doc_id", "part"])
 
 
