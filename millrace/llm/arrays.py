@@ -6,6 +6,8 @@ task is bounded by the largest document, not by its partition. Null texts count
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -133,6 +135,15 @@ def squeeze(text: bytes) -> bytes:
 _TO_SPACE = bytes(0x20 if SPACE[i] else i for i in range(256))
 
 
+def trim() -> None:
+    """Give what the allocators hold in reserve back to the system: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

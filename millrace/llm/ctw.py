@@ -36,6 +36,8 @@ CHUNK = 3 << 24
 #: Entries that a writer holds before it lets them go.
 ENTRIES = 2_500_000
 BREAKS = 5000
+#: Keys that are worked on at a time, and bytes of text.
+BLOCK, SLAB = 200_000, 1 << 18
 WORD = A.U64(1 << 63)
 END_KEY = WORD | A.U64(0x5EED)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -90,10 +92,10 @@ def _sums(keys: np.ndarray, *values: np.ndarray):
     return unique, *(np.bincount(back, v, len(unique)) for v in values)
 
 
-def _bits(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(8, n) nodes of the byte's binary tree on the way to the byte, and the bit taken at each."""
+def _bits(gram: np.ndarray, places=range(8)) -> tuple[np.ndarray, np.ndarray]:
+    """(places, n) nodes of the byte's binary tree on the way to the byte, and the bit taken at each."""
     byte = (gram & A.U64(255)).astype(np.int64)
-    j = np.arange(8)[:, None]
+    j = np.array(places)[:, None]
     return (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
 
 
@@ -101,14 +103,17 @@ def _context(gram: np.ndarray, d: int) -> np.ndarray:
     return (gram >> A.U64(8)) & A.U64((1 << 8 * d) - 1)
 
 
-def levels(gram: np.ndarray, count: np.ndarray, top: int, depth: int = DEPTH) -> list:
-    """From depth up to top: (keys of (context, node), zeros, ones, own log probability, weighted log probability)."""
+def levels(gram: np.ndarray, count: np.ndarray, top: int, depth: int = DEPTH, places=range(8)) -> list:
+    """From depth up to top: (keys of (context, node), zeros, ones, own log probability, weighted log probability).
+
+    places: which of the byte's decisions; their nodes have nothing in common, so each can be taken by itself.
+    """
     seen = count > 0
     gram, count = gram[seen], count[seen].astype(np.float64)
-    node, bit = _bits(gram)
+    node, bit = _bits(gram, places)
     keys = ((_context(gram, depth) << A.U64(8))[None, :] | node.astype(A.U64)).ravel()
     one = (bit * count[None, :]).ravel()
-    keys, total, ones = _sums(keys, np.tile(count, 8), one)
+    keys, total, ones = _sums(keys, np.tile(count, len(node)), one)
     zeros = total - ones
     own = ln_kt(zeros, ones)
     out = [(keys, zeros, ones, own, own)]
@@ -121,9 +126,9 @@ def levels(gram: np.ndarray, count: np.ndarray, top: int, depth: int = DEPTH) ->
     return out[::-1]
 
 
-def _mixed(gram: np.ndarray, tables: list) -> np.ndarray:
-    """log10 of the probability of each string's last byte. tables: (keys, zeros, ones, own, weighted) for depth 0, 1, ..."""
-    node, bit = _bits(gram)
+def _mixed(gram: np.ndarray, tables: list, places=range(8)) -> np.ndarray:
+    """log10 of the probability of each string's last byte, or of some of its decisions. tables: (keys, zeros, ones, own, weighted) for depth 0, 1, ..."""
+    node, bit = _bits(gram, places)
     node = node.astype(A.U64)
     p = np.full(node.shape, 0.5)  # of a one
     deeper = np.zeros(node.shape, bool)  # a longer context has been met
@@ -142,19 +147,23 @@ def _mixed(gram: np.ndarray, tables: list) -> np.ndarray:
 
 
 class Lookup:
-    """Values by 64-bit key, by hashing without chains: what collides goes to a smaller next table."""
+    """Values by 64-bit key, by hashing without chains: what collides goes to a smaller next table.
+
+    Keys may be there twice, with one value. Nothing is sorted or copied; work goes in blocks, so little beyond the keys,
+    the values and the tables is held.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, first = np.unique(keys, return_index=True)
-        self.values, self.tables = values[first], []
-        left = np.arange(len(self.keys))
+        self.keys, self.values, self.tables = keys, values, []
+        left = np.arange(len(keys), dtype=np.int32)
         while len(left):
             bits = max(4, int(2 * len(left)).bit_length())
-            place = self._place(self.keys[left], len(self.tables), bits)
             table = np.zeros(1 << bits, np.int32)
-            table[place] = left
+            blocks = [left[i : i + BLOCK] for i in range(0, len(left), BLOCK)]
+            for block in blocks:
+                table[self._place(keys[block], len(self.tables), bits)] = block
+            left = np.concatenate([block[keys[table[self._place(keys[block], len(self.tables), bits)]] != keys[block]] for block in blocks])
             self.tables.append((bits, table))
-            left = left[table[place] != left]
 
     def _place(self, keys, salt, bits):
         return (A.mix(keys + A.U64(salt + 1) * A.U64(0x9E3779B97F4A7C15)) >> A.U64(64 - bits)).astype(np.int64)
@@ -205,10 +214,12 @@ def _listed(docs: DataFrame, depth: int) -> DataFrame:
         size = 0
 
         def merged(chunk):
-            keys, n = map(np.concatenate, zip(*held[chunk], strict=True))
-            keys, n = _sums(keys, n)
-            held[chunk] = [(keys, n)]
-            return len(keys)
+            keys, n = map(np.concatenate, zip(*held.pop(chunk), strict=True))
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            held[chunk] = [(keys[first], np.add.reduceat(n, first))]
+            return len(first)
 
         def flush():
             for chunk in sorted(held):
@@ -222,7 +233,7 @@ def _listed(docs: DataFrame, depth: int) -> DataFrame:
         for batch in batches:
             out = batch.column(2).to_numpy(zero_copy_only=False)
             of = batch.column(3).to_numpy()
-            for i, j, buf, offs in A.slabs(batch.column(1)):
+            for i, j, buf, offs in A.slabs(batch.column(1), 2 * SLAB):
                 gram, doc = grams(buf, offs, depth)
                 word, word_doc = word_keys(buf, offs)
                 keys = np.concatenate([gram, word, np.full(j - i, END_KEY)])
@@ -233,7 +244,7 @@ def _listed(docs: DataFrame, depth: int) -> DataFrame:
                         use = mine & (out[i:j] != train)
                         if use.any():
                             k, n = np.unique(keys[use[doc]] if not use.all() else keys, return_counts=True)
-                            held.setdefault(chunk, []).append((k, n * float(train)))
+                            held.setdefault(chunk, []).append((k, (n * train).astype(np.uint32)))
                             size += len(k)
                 if size > ENTRIES:
                     size = sum(merged(c) for c in list(held))
@@ -241,6 +252,7 @@ def _listed(docs: DataFrame, depth: int) -> DataFrame:
                         yield from flush()
                         size = 0
         yield from flush()
+        A.trim()
 
     return docs.mapInArrow(run, "chunk int, key long, n long")
 
@@ -266,6 +278,58 @@ def _groups(batches, width: int):
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def _apart(strings: int) -> list:
+    """The decisions of a byte all at once in small subtrees, one by one in large ones, of which an eighth is held then."""
+    return [range(8)] if strings < BLOCK // 2 else [[j] for j in range(8)]
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Bytes of equal significance side by side, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T), codec="zstd", asbytes=True)
+
+
+def _unsqueezed(raw: pa.Buffer, n: int, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, codec="zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+#: Strings that a packer holds before it lets them go.
+PACKED = 1_000_000
+PARCEL = "chunk int, n int, words boolean, keys binary, found binary"
+
+
+def _parcels(rows: DataFrame) -> DataFrame:
+    """The answers for a chunk in few large rows: their keys in order as differences, and code lengths or words' counts."""
+    schema = pa.schema([("chunk", pa.int32()), ("n", pa.int32()), ("words", pa.bool_()), ("keys", pa.binary()), ("found", pa.binary())])
+
+    def packed(held):
+        chunk, key, value = map(np.concatenate, zip(*held, strict=True))
+        order = np.lexsort((key, chunk))
+        chunk, key, value = chunk[order], key[order].view(np.uint64), value[order]
+        edges = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | ((key[1:] >= WORD) != (key[:-1] >= WORD)), [True]]))
+        out = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            words = bool(key[a] >= WORD)
+            steps = np.diff(key[a:b], prepend=A.U64(0))
+            out.append((int(chunk[a]), int(b - a), words, _squeezed(steps), _squeezed(value[a:b] if words else value[a:b].astype(np.float32))))
+        return A.batch_of(schema, *map(list, zip(*out, strict=True)))
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(tuple(batch.column(i).to_numpy().copy() for i in range(3)))
+            size += batch.num_rows
+            if size > PACKED:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+        A.trim()
+
+    return rows.select("chunk", "key", F.coalesce(F.col("n").cast("double"), F.col("value").cast("double")).alias("value")).mapInArrow(run, PARCEL)
+
+
 def code_lengths(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """key and value, log10 of the probability of its last byte after the bytes before, for each string. counts: key, n."""
     sorted_ = counts.withColumn("sub", F.shiftright("key", 8).bitwiseAND(0xFFFF).cast("int")).select("sub", "key", "n").repartition("sub").sortWithinPartitions("sub")
@@ -273,9 +337,11 @@ def code_lengths(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def upward(batches):
         for _, key, n in _groups(batches, 3):
-            keys, zeros, ones, _, weighted = levels(key.astype(A.U64), n, 2, depth)[0]
-            if len(keys):
-                yield A.batch_of(roots, keys.astype(np.int64), zeros, ones, weighted)
+            for places in _apart(len(key)):
+                keys, zeros, ones, _, weighted = levels(key.astype(A.U64), n, 2, depth, places)[0]
+                if len(keys):
+                    yield A.batch_of(roots, keys.astype(np.int64), zeros, ones, weighted)
+        A.trim()
 
     up = sorted_.mapInArrow(upward, "key long, zeros double, ones double, weighted double")
     # the sums of each first context byte's nodes: 256 x 255 rows at most
@@ -287,16 +353,21 @@ def code_lengths(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     keys, zeros, ones, below = _sums(keys & A.U64(255), zeros, ones, one[4])
     own = ln_kt(zeros, ones)
     top = [(keys, zeros, ones, own, np.logaddexp(own, below) - math.log(2)), one]
-    schema = pa.schema([("key", pa.int64()), ("value", pa.float64())])
+    schema = pa.schema([("key", pa.int64()), ("value", pa.float32())])
 
     def downward(batches):
         for _, key, n in _groups(batches, 3):
-            gram = key.astype(A.U64)
-            tables = top + levels(gram, n, 2, depth)
-            for i in range(0, len(gram), 100_000):
-                yield A.batch_of(schema, key[i : i + 100_000], _mixed(gram[i : i + 100_000], tables))
+            gram, value = key.astype(A.U64), np.zeros(len(key))
+            for places in _apart(len(key)):
+                tables = top + levels(gram, n, 2, depth, places)
+                step = BLOCK // len(places)
+                for i in range(0, len(gram), step):
+                    value[i : i + step] += _mixed(gram[i : i + step], tables, places)
+            for i in range(0, len(gram), BLOCK):
+                yield A.batch_of(schema, key[i : i + BLOCK], value[i : i + BLOCK].astype(np.float32))
+        A.trim()
 
-    return sorted_.mapInArrow(downward, "key long, value double")
+    return sorted_.mapInArrow(downward, "key long, value float")
 
 
 def scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK) -> DataFrame:
@@ -306,30 +377,40 @@ def scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK) -> Dat
     totals = written(listed.groupBy("key").agg(F.sum("n").alias("n")), "counts")
     words = totals.where("key < 0")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    values = words.select("key", F.col("n").cast("double").alias("value")).unionByName(code_lengths(totals.where("key >= 0"), depth))
-    answers = listed.select("chunk", "key").join(values, "key").select("chunk", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"), "key", "value")
-    asked = docs.select("chunk", "doc_id", "text", "held_out", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"))
-    met = answers.unionByName(asked).repartition("chunk").sortWithinPartitions("chunk", F.col("key").isNull())
+    # code lengths travel as floats, as half of what is shuffled would be digits beyond those that count; counts stay whole
+    values = words.select("key", F.lit(None).cast("float").alias("value"), "n").unionByName(code_lengths(totals.where("key >= 0"), depth).withColumn("n", F.lit(None).cast("long")))
+    answers = _parcels(listed.select("chunk", "key").join(values, "key")).select("chunk", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"), "n", "words", "keys", "found")
+    asked = docs.select("chunk", "doc_id", "text", "held_out", F.lit(None).cast("int").alias("n"), F.lit(None).cast("boolean").alias("words"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("found"))
+    met = answers.unionByName(asked).repartition("chunk").sortWithinPartitions("chunk", F.col("n").isNull())
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], *[(c, pa.float64()) for c in ("base_score", "score", "bits_per_byte")]])
     floor = math.log10(n + v + 1)
 
     def run(batches):
-        chunk, found, lookup = None, [], None
+        chunk, keys, values, lookup = None, [], [], None
+
+        def table():
+            whole = np.concatenate(keys)
+            keys.clear()
+            out = Lookup(whole, np.concatenate(values))
+            values.clear()
+            return out
+
         for batch in batches:
-            of, value = batch.column(0).to_numpy(), batch.column(5)
-            given = np.asarray(value.is_valid())
+            of = batch.column(0).to_numpy()
+            given = np.asarray(batch.column(4).is_valid())
             edges = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (given[1:] != given[:-1])])) if len(of) else []
             for a, b in zip(edges, [*edges[1:], len(of)], strict=True):
                 if of[a] != chunk:
-                    chunk, found, lookup = of[a], [], None
+                    chunk, lookup = of[a], None
                 part = batch.slice(a, b - a)
                 if given[a]:
-                    found.append((part.column(4).to_numpy().view(np.uint64), part.column(5).to_numpy()))
+                    for size, words, key, value in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), part.column(6), part.column(7), strict=True):
+                        keys.append(np.cumsum(_unsqueezed(key.as_buffer(), size, np.uint64), dtype=np.uint64))
+                        values.append(_unsqueezed(value.as_buffer(), size, np.float64 if words else np.float32).astype(np.float64))
                     continue
                 if lookup is None:
-                    lookup = Lookup(*map(np.concatenate, zip(*found, strict=True)))
-                    found = []
-                for i, j, buf, offs in A.slabs(part.column(2)):
+                    lookup = table()
+                for i, j, buf, offs in A.slabs(part.column(2), SLAB):
                     gram, doc = grams(buf, offs, depth)
                     score = np.bincount(doc, lookup(gram), j - i)
                     word, doc = word_keys(buf, offs)
@@ -339,5 +420,6 @@ def scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK) -> Dat
                     known = np.bincount(doc, count > 0, j - i).astype(np.int64) + (ends > 0)
                     bits = -score * math.log2(10) / (np.diff(offs) + 1)
                     yield A.batch_of(schema, part.column(1)[i:j], part.column(3)[i:j], tokens, known, np.full(j - i, n), base, score, bits)
+        A.trim()
 
     return met.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
