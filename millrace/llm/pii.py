@@ -105,8 +105,8 @@ def _look_alikes() -> dict[str, str]:
 
 
 LOOK_ALIKES = _look_alikes()
-#: A wide net for them; the table decides.
-_ODD = re.compile("[\xa0\xad\u0370-\U0010ffff]")
+#: A wide net for them; the table decides. Also the letters that match an ASCII one without regard to case.
+_ODD = re.compile("[\xa0\xad\u0130\u0131\u017f\u0370-\U0010ffff]")
 DIGIT_WORDS = {
     w: str(i)
     for i, ws in enumerate(
@@ -133,14 +133,16 @@ _SPELLED_AT = re.compile(
 )
 _LOCAL_DOT = re.compile(r"(?<=[A-Za-z0-9])[ ]{1,2}(?:dot|punkt|punto)[ ]{1,2}(?=[A-Za-z0-9._%+-]{1,64}@)", re.I)
 _IP_DOT = re.compile(r"(?<=[0-9])[ ]{0,2}(?:\bdot\b|\bpoint\b|\bpunkt\b|\bpunto\b|\.)[ ]{0,2}(?=[0-9])", re.I)
-# What any of the rewritings needs, searched in lower case.
+_LOW = _LABEL.replace("A-Z", "")
+# What any of the rewritings needs, searched in lower case: each finds all that its transducers do, in a text that _ODD finds nothing in.
 _NOTES = (
-    re.compile(rf"[(\[{{<]\s{{0,2}}(?:at|@|arroba|ät|dot|\.|punkt|point|punto)\s{{0,2}}[)\]}}>]"),
-    re.compile(r" dot | punkt | punto | point | arroba |plus (?=[+0-9])"),
-    re.compile(rf" at  ?{_LABEL.replace('A-Z', '')}(?:\.[a-z0-9-]+)*\.{_ENDS}\b"),
-    re.compile(r"@ | @"),
-    re.compile(rf"\b(?:{_WORD}|plus)(?:[ ,-]{{1,2}}(?:{_WORD}|dot|[0-9]+)\b){{3}}"),
-    re.compile(r"[0-9] {1,2}\. {0,2}[0-9]"),
+    re.compile(rf"{_AT}|{_DOT}"),
+    re.compile(r" dot | punkt | punto | arroba "),  # any "dot" of addresses, and _IP_DOT's words but "point"
+    re.compile(rf" at {{1,2}}{_LOW}(?:\.[a-z0-9-]+)*\.{_ENDS}\b"),
+    re.compile(rf"@ | @|@{_LOW}(?:\.{_LOW}){{0,4}}(?: {{1,2}}\.|\. )"),
+    re.compile(rf"\b(?:{_WORD})\b(?:[ ,-]{{1,2}}(?:(?:{_WORD}|plus|dot|point|punkt|punto)\b|[0-9]+\b|\.)){{3}}"),
+    re.compile(r"\bplus +\+?[0-9]"),
+    re.compile(r"[0-9](?: {1,2}(?:point {1,2}|\. {0,2})|\. {1,2})[0-9]"),
 )
 
 
@@ -192,7 +194,7 @@ def _spelled_digits(tape: Tape) -> Tape:
 
 
 def _plain(pattern: re.Pattern, new: str):
-    return lambda tape: tape.rewrite([(*m.span(), new) for m in pattern.finditer(tape.text)])
+    return lambda tape: tape.rewrite([(*m.span(), new) for m in pattern.finditer(tape.text) if m[0] != new])
 
 
 def _spelled_at(tape: Tape) -> Tape:
@@ -223,6 +225,11 @@ def normalised(text: str) -> Tape | None:
     low = text.lower()
     if (text.isascii() or not _ODD.search(text)) and not any(note.search(low) for note in _NOTES):
         return None
+    return rewritten(text)
+
+
+def rewritten(text: str) -> Tape | None:
+    """What all transducers make of a text, without the search before them."""
     first = tape = Tape.of(text)
     for step in TRANSDUCERS:
         tape = step(tape)

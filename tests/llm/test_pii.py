@@ -78,6 +78,34 @@ def test_clean_texts_stay(text):
     assert pii.listed(pii.find(text)[1]) == "" and pii.redacted(text) == text
 
 
+@pytest.mark.parametrize(
+    ("text", "span"),
+    [
+        ("host 192. 168. 0. 1 is up", "192. 168. 0. 1"),
+        ("mail jane@example .com now", "jane@example .com"),
+        ("mail jane@example. com now", "jane@example. com"),
+        ("host one nine two . one six eight . zero . one", "one nine two . one six eight . zero . one"),
+        ("call plus  49 30 1234567", "plus  49 30 1234567"),
+    ],
+)
+def test_a_disguise_needs_no_other_trigger(text, span):
+    assert [text[a:b] for spans in pii.find(text)[1].values() for a, b in spans] == [span]
+    assert pii.find(text)[1] == pii.find(text + " \u201d")[1]
+
+
+def test_the_search_before_the_transducers_loses_nothing():
+    rng = random.Random(10)
+    words = ["jane", "example", "com", "de", "at", "AT", "@", "arroba", "dot", "Punkt", "punto", "point", "po\u0131nt", "\u017fix", ".", "(at)", "[ dot ]", "{.}", "<\u00c4T >", "one", "Two", "f\u00dcnf", "zero", "plus", "+", "192", "168", "0", "1", "-", "x" * 70, "\n", "\xe9"]
+    gaps = ["", " ", " ", "  ", "   ", ",", "-", ", "]
+    met = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randrange(1, 14)))
+        want, got = pii.rewritten(text), pii.normalised(text)
+        assert (want and want.text) == (got and got.text), text
+        met += want is not None
+    assert met > 500
+
+
 def test_edges(spark):
     got = pii.spans(cases.edge(spark))
     cases.same_ids(got)
