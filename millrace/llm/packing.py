@@ -14,6 +14,7 @@ the same whenever a partition is computed again.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,24 +22,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import splitter
 from .tables import texts
 
 CAPACITY, END, WASTE = 1024, 0, 64
 #: Input bytes tokenised before their pieces leave.
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[str, Encoder] = {}
+#: The library's splitter fails on about a million white-space characters in a row; texts with runs of this length are split by bpe.splitter().
+BLANKS = 100_000
+_BLANKS = re.compile(rf"(?<!\s)\s{{{BLANKS}}}")
 
 
-def encoder(ranks: str | None = None):
+class Encoder:
+    """The tokenizer of a rank file: tiktoken's merges, which give what the tokenizers library does at less cost."""
+
+    def __init__(self, ranks: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(ranks, "rb") as file:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self.code = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        self.split = splitter()
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        if len(text) < BLANKS or not _BLANKS.search(text):
+            return self.code.encode_ordinary(text)
+        return [i for piece in self.split.findall(text) for i in self.code._encode_single_piece(piece)]
+
+
+def encoder(ranks: str | None = None) -> Encoder:
     """The tokenizer of a rank file, with no special tokens: their strings are ordinary text."""
     import public_tokenizers
-    import tiktoken
 
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     if ranks not in _ENCODERS:
-        with open(ranks, "rb") as file:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        _ENCODERS[ranks] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        _ENCODERS[ranks] = Encoder(ranks)
     return _ENCODERS[ranks]
 
 

@@ -76,3 +76,14 @@ def test_classes_hold_fixed_numbers(capacity):
 def test_special_strings_are_text(spark):
     text = "a<|endoftext|>b <s> </s>"
     assert len(packing.encoder().encode_ordinary(text)) == packing.pack(cases.plain(spark, [text])).first().length - 1
+
+
+@pytest.mark.parametrize("blanks", [" " * 1_100_000, "a" + " \n" * 600_000 + "b \u2003c", "\n" * 1_100_000 + " x"])
+def test_a_million_blanks(spark, blanks):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(blanks, add_special_tokens=False).ids
+    assert packing.encoder().encode_ordinary(blanks) == want
+    got = packing.pack(cases.plain(spark, ["a b", blanks])).where("doc_id = 1").collect()
+    assert sum(r.length for r in got) == got[0].doc_tokens == len(want) + 1
