@@ -14,6 +14,8 @@ the same whenever a partition is computed again.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 
 import numpy as np
@@ -35,7 +37,10 @@ _BLANKS = re.compile(rf"(?<!\s)\s{{{BLANKS}}}")
 
 
 class Encoder:
-    """The tokenizer of a rank file: tiktoken's merges, which give what the tokenizers library does at less cost."""
+    """What the tokenizers library makes of the JSON file beside a rank file, without added ends, by tiktoken's merges at less cost.
+
+    A text is cut at the JSON's added tokens first, wherever their strings stand.
+    """
 
     def __init__(self, ranks: str):
         import public_tokenizers
@@ -45,15 +50,29 @@ class Encoder:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.code = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.split = splitter()
+        described = ranks.removesuffix(".tiktoken") + ".json"
+        self.added = {}
+        if os.path.exists(described):
+            with open(described, encoding="utf-8") as file:
+                self.added = {t["content"]: t["id"] for t in json.load(file).get("added_tokens", ())}
+        self.cut = re.compile("({})".format("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))) if self.added else None
 
     def encode_ordinary(self, text: str) -> list[int]:
+        if not self.added or not any(t in text for t in self.added):
+            return self._text(text)
+        out = []
+        for part in self.cut.split(text):
+            out += [self.added[part]] if part in self.added else self._text(part)
+        return out
+
+    def _text(self, text: str) -> list[int]:
         if len(text) < BLANKS or not _BLANKS.search(text):
             return self.code.encode_ordinary(text)
         return [i for piece in self.split.findall(text) for i in self.code._encode_single_piece(piece)]
 
 
 def encoder(ranks: str | None = None) -> Encoder:
-    """The tokenizer of a rank file, with no special tokens: their strings are ordinary text."""
+    """The tokenizer of a rank file and the JSON beside it."""
     import public_tokenizers
 
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -87,3 +87,19 @@ def test_a_million_blanks(spark, blanks):
     assert packing.encoder().encode_ordinary(blanks) == want
     got = packing.pack(cases.plain(spark, ["a b", blanks])).where("doc_id = 1").collect()
     assert sum(r.length for r in got) == got[0].doc_tokens == len(want) + 1
+
+
+def test_added_tokens_as_the_library_has_them(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    code = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end + end, f"  {end}\n\n{end} x", f"a<{end}>", "<|endoftext|", "<|ENDOFTEXT|>", f"{end}s's", *(t or "" for _, t in cases.TEXTS), *(f"{t or ''}{end}{t or ''}" for _, t in cases.TEXTS)]
+    want = [code.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [packing.encoder().encode_ordinary(t) for t in texts] == want
+    got = {}
+    for r in packing.pack(cases.plain(spark, texts)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.ids))
+    assert [np.frombuffer(b"".join(i for _, i in sorted(got[k])), "<u4").tolist() for k in range(len(texts))] == [[*w, 0] for w in want]
