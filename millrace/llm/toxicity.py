@@ -61,21 +61,25 @@ def units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     # letter runs of words that have other characters inside
     count = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(letter, out=count[1:])
-    edge = np.diff(np.concatenate([[0], letter.astype(np.int8), [0]]))
-    ra, rb = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    # a run ends with its document, though the next one may go on with a letter
+    border = np.zeros(len(buf) + 1, bool)
+    border[offs] = True
+    before, after = np.concatenate([[False], letter]), np.concatenate([letter, [False]])
+    ra, rb = np.flatnonzero(after & (~before | border)), np.flatnonzero(before & (~after | border))
     if len(ra) and len(a):
         w = np.searchsorted(a, ra, "right") - 1
         part = (rb - ra >= 3) & (rb - ra < count[b[w]] - count[a[w]])
         out.append((ra[part], rb[part], doc[w[part]]))
-    # runs of at least four words of one letter
+    # runs of at least four words of one letter, each in one document
     single = (size <= 2) & (count[b] - count[a] == 1)
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+    other = np.concatenate([[True], doc[1:] != doc[:-1], [True]]) if len(doc) else np.ones(1, bool)
+    before, after = np.concatenate([[False], single]), np.concatenate([single, [False]])
+    first, last = np.flatnonzero(after & (~before | other)), np.flatnonzero(before & (~after | other))
+    for s, e in zip(first.tolist(), last.tolist(), strict=True):
         if e - s >= 4:
             for i in range(s, max(s + 1, e - 6), 6):
                 j = min(e, i + 12) - 1
-                if doc[i] == doc[j]:
-                    out.append((a[i : i + 1], b[j : j + 1], doc[i : i + 1]))
+                out.append((a[i : i + 1], b[j : j + 1], doc[i : i + 1]))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 

@@ -149,3 +149,23 @@ def test_context_tree_edges(spark):
     alone = next(i for i in range(99) if remainder(i, 7) == 2)
     r = ctw.scores(cases.plain(spark, ["ab"], alone)).first()
     assert r.train_tokens == 0 and r.score == pytest.approx(3 * math.log10(1 / 256)) and r.base_score == 0
+
+
+def test_a_slab_scores_as_each_document_alone():
+    rng = np.random.default_rng(9)
+    words = ["a", "I", "i", "d", "o", "t", "é", "x9idiot", "7cruel", "word", "-", "y" * 50, " ", "\n", "3", "ab-", ""]
+    texts = ["you i d i o t", "A day", "x b", "i d i o t you", "", "see x9idiot", "Apple", *(" ".join(rng.choice(words, rng.integers(0, 15))) for _ in range(400))]
+    machine = toxicity.Machine(rng.normal(size=toxicity.CODES), (0.1, 1.0, 0.5), -2.0, 0.1)
+
+    def units_and_chances(some):
+        raw = [t.encode() for t in some]
+        buf, offs = toxicity._FOLD[np.frombuffer(b"".join(raw), np.uint8)], np.cumsum([0, *map(len, raw)])
+        a, b, doc = toxicity.units(buf, offs)
+        found = [sorted(buf[i:j].tobytes() for i, j, d in zip(a, b, doc, strict=True) if d == k) for k in range(len(some))]
+        return found, machine.probability(machine.features(doc, machine.values(buf, a, b), len(some)))
+
+    found, chances = units_and_chances(texts)
+    alone = [units_and_chances([t]) for t in texts]
+    assert b"i d i o t" in found[0] and b"i d i o t" in found[3] and b"idiot" in found[5]
+    assert found == [f[0] for f, _ in alone]
+    assert chances == pytest.approx([p[0] for _, p in alone])
