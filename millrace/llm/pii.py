@@ -125,12 +125,21 @@ _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})"
 _SEP_DOT = r"(?:[ ]{1,2}(?:dot|punkt|punto)[ ]{1,2}|\.)"
 _WIDE_DOT = r"(?:[ ]{1,2}(?:dot|punkt|punto)[ ]{1,2}|[ ]{0,2}\.[ ]{0,2})"
 _ENDS = r"(?:com|org|net|edu|gov|info|biz|io|co|de|fr|es|uk|eu|us|ca|ch|nl|test)"
-# A spelled "at" counts before labels of which a "dot" is spelled, or before a domain of a known ending; a sign with gaps before any of a known ending.
+# Small letters only, as "home.It was" is a lost space; a country's code that is also a file's ending (.py, .sh) isn't among them.
+_MORE_ENDS = (
+    r"(?-i:mil|int|name|example|invalid|localhost|a[cdefgilmoqrtuwxz]|b[abdefghijmnorstvwyz]|c[adfghiklmnoruvwxyz]|d[ejkmoz]|e[cegrst]|f[ijkmor]|g[abdefghilmnpqrstuwy]|h[kmnrtu]|i[delmnqrst]"
+    r"|j[emop]|k[eghimnprwyz]|l[abcikrtuvy]|m[acegkmnopqrstuvwxyz]|n[acefgilopruz]|om|p[aefghkmnrtw]|qa|r[eouw]|s[abcdegiklmnrtvxyz]|t[cdfghjklmnortvwz]|u[agksyz]|v[aceginu]|w[fs]|y[et]|z[amw])"
+)
+# A spelled "at" counts before labels of which a "dot" is spelled, or before a domain of a known ending, or of any ending if what stands before is
+# like an address; a sign with gaps before any of a known ending.
 _SPELLED_AT = re.compile(
-    rf"(?<=[A-Za-z0-9._%+-])(?P<at>[ ]{{1,2}}(?:at|arroba)[ ]{{1,2}})(?P<domain>{_LABEL}(?:{_SEP_DOT}{_LABEL}){{0,4}}(?:[ ]{{1,2}}(?:dot|punkt|punto)[ ]{{1,2}}{_LABEL}|\.{_ENDS}\b(?!@)))"
-    rf"|(?<=[A-Za-z0-9._%+-])(?P<at2>[ ]{{0,2}}@[ ]{{0,2}})(?P<domain2>{_LABEL}(?:{_WIDE_DOT}{_LABEL}){{0,4}}(?:[ ]{{1,2}}(?:dot|punkt|punto)[ ]{{1,2}}{_LABEL}|[ ]{{0,2}}\.[ ]{{0,2}}{_ENDS}\b))",
+    rf"(?<=[A-Za-z0-9._%+-])(?P<at>[ ]{{1,2}}(?:at|arroba)[ ]{{1,2}})(?P<domain>{_LABEL}(?:{_SEP_DOT}{_LABEL}){{0,4}}(?:[ ]{{1,2}}(?:dot|punkt|punto)[ ]{{1,2}}{_LABEL}|\.(?:{_ENDS}|{_MORE_ENDS})\b(?!@)))"
+    rf"|(?<=[A-Za-z0-9._%+-])(?P<at2>[ ]{{0,2}}@[ ]{{0,2}})(?P<domain2>{_LABEL}(?:{_WIDE_DOT}{_LABEL}){{0,4}}(?:[ ]{{1,2}}(?:dot|punkt|punto)[ ]{{1,2}}{_LABEL}|[ ]{{0,2}}\.[ ]{{0,2}}{_ENDS}\b))"
+    rf"|(?<=[A-Za-z0-9._%+-])(?P<at3>[ ]{{1,2}}(?:at|arroba)[ ]{{1,2}})(?P<domain3>{_LABEL}(?:\.{_LABEL}){{0,4}}\.(?-i:[a-z]{{2,24}}|[A-Z]{{2,24}})\b(?![A-Za-z0-9._%+-]{{0,64}}@))",
     re.I,
 )
+# What ends before a spelled "at" is like an address: a local part of more than letters, or a word of mail in the sixty characters before it.
+_ADDRESS = re.compile(r"(?:[A-Za-z0-9%+_-]*(?:[0-9%+_-]|[A-Za-z]\.[A-Za-z])[A-Za-z0-9%+_-]*|\b(?:e-?mails?|mail(?:ed|to)?|contact|write|address|reach|kontakt|schreib\w*|adresse|contacter|correo|contacto|escrib\w*|courriel|écri\w*)\b[^\n]{0,60})$", re.I)
 _LOCAL_DOT = re.compile(r"(?<=[A-Za-z0-9])[ ]{1,2}(?:dot|punkt|punto)[ ]{1,2}(?=[A-Za-z0-9._%+-]{1,64}@)", re.I)
 _IP_DOT = re.compile(r"(?<=[0-9])[ ]{0,2}(?:\bdot\b|\bpoint\b|\bpunkt\b|\bpunto\b|\.)[ ]{0,2}(?=[0-9])", re.I)
 _LOW = _LABEL.replace("A-Z", "")
@@ -138,7 +147,7 @@ _LOW = _LABEL.replace("A-Z", "")
 _NOTES = (
     re.compile(rf"{_AT}|{_DOT}"),
     re.compile(r" dot | punkt | punto | arroba "),  # any "dot" of addresses, and _IP_DOT's words but "point"
-    re.compile(rf" at {{1,2}}{_LOW}(?:\.[a-z0-9-]+)*\.{_ENDS}\b"),
+    re.compile(rf" at {{1,2}}{_LOW}(?:\.[a-z0-9-]+)*\.[a-z]{{2,24}}\b"),
     re.compile(rf"@ | @|@{_LOW}(?:\.{_LOW}){{0,4}}(?: {{1,2}}\.|\. )"),
     re.compile(rf"\b(?:{_WORD})\b(?:[ ,-]{{1,2}}(?:(?:{_WORD}|plus|dot|point|punkt|punto)\b|[0-9]+\b|\.)){{3}}"),
     re.compile(r"\bplus +\+?[0-9]"),
@@ -200,7 +209,9 @@ def _plain(pattern: re.Pattern, new: str):
 def _spelled_at(tape: Tape) -> Tape:
     changes = []
     for m in _SPELLED_AT.finditer(tape.text):
-        kind = "" if m["at"] is not None else "2"
+        kind = "" if m["at"] is not None else "2" if m["at2"] is not None else "3"
+        if kind == "3" and not _ADDRESS.search(tape.text[max(0, m.start() - 90) : m.start()]):
+            continue
         if m[f"at{kind}"] == "@" and " " not in m[f"domain{kind}"]:
             continue
         changes.append((*m.span(f"at{kind}"), "@"))

@@ -106,6 +106,24 @@ def test_the_search_before_the_transducers_loses_nothing():
     assert met > 500
 
 
+@pytest.mark.parametrize("ending", ["it", "at", "ru", "me", "example", "pl"])
+def test_a_spelled_at_before_any_ending(ending):
+    for who, before in (("jane.doe", "ask "), ("jane_7", ""), ("jane", "write to ")):
+        span = f"{who} at firma.{ending}"
+        text = f"{before}{span} or wait"
+        assert [text[a:b] for spans in pii.find(text)[1].values() for a, b in spans] == [span]
+    assert ending == "pl" or pii.find(f"jane at firma.{ending}")[1]["email"]
+    assert pii.find(f"jane.doe at firma.{ending}")[1]["email"]
+
+
+def test_an_unusual_ending_needs_an_address():
+    for ending in ("museum", "berlin", "cloud"):
+        assert pii.find(f"my mail is jane at firma.{ending}, call")[1]["email"] == [(11, 25 + len(ending))]
+        assert pii.find(f"j.doe at firma.{ending}")[1]["email"]
+    for text in ("look at setup.py and", "stay at home.Then we left", "stay at home.It was", "home @ work. It was", "we met at noon.later", "look at 3.5 or 4.5", "at a.b"):
+        assert pii.find(text)[1]["email"] == [], text
+
+
 def test_edges(spark):
     got = pii.spans(cases.edge(spark))
     cases.same_ids(got)
