@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .tables import remainder, texts
 
-#: Rows of each class that a classifier may be fitted on, and characters that their texts may have together.
+#: Rows of each class that a classifier may be fitted on, and characters that their texts may have together, half for each class.
 ROWS_PER_CLASS = 900
 BYTES = 48_000_000
 
@@ -16,7 +16,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, out: int,
     """Whole texts, their labels and the counts of each class among the rows that may be learnt from.
 
     Only rows whose crc32(doc_id) mod `mod` is not `out` are looked at. Of each class at most rows_per_class
-    are taken, in the order of a hash of doc_id; the counts are of all.
+    are taken, in the order of a hash of doc_id, until their characters exceed half of BYTES; the counts are of all.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").dropDuplicates(["doc_id"])
     train = labels.where(remainder(F.col("doc_id"), mod) != out)
@@ -24,14 +24,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, out: int,
     order = F.xxhash64("doc_id", F.lit("sample"))
     picked = train.where("label = 0").orderBy(order, "doc_id").limit(rows_per_class).unionByName(train.where("label = 1").orderBy(order, "doc_id").limit(rows_per_class))
     # at most 2 * rows_per_class identifiers are sent to all
-    found = texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").orderBy("doc_id")
-    out_texts, out_labels, size, last = [], [], 0, None
+    found = texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").orderBy(order, "doc_id")
+    kept, size, full, last = [], {0: 0, 1: 0}, set(), None
     for row in found.toLocalIterator():
-        size += len(row["text"])
-        if size > BYTES:
-            break
-        if row["doc_id"] != last:
-            out_texts.append(row["text"])
-            out_labels.append(row["label"])
+        label_, first = row["label"], row["doc_id"] != last
         last = row["doc_id"]
-    return out_texts, out_labels, counts
+        if not first or label_ in full:
+            continue
+        # a class has its first text whatever its length
+        if size[label_] and size[label_] + len(row["text"]) > BYTES // 2:
+            full.add(label_)
+            continue
+        size[label_] += max(1, len(row["text"]))
+        kept.append((row["doc_id"], row["text"], label_))
+    kept.sort(key=lambda x: x[0])
+    return [t for _, t, _ in kept], [y for _, _, y in kept], counts

@@ -169,3 +169,15 @@ def test_a_slab_scores_as_each_document_alone():
     assert b"i d i o t" in found[0] and b"i d i o t" in found[3] and b"idiot" in found[5]
     assert found == [f[0] for f, _ in alone]
     assert chances == pytest.approx([p[0] for _, p in alone])
+
+
+def test_a_bounded_sample_keeps_both_classes(spark, monkeypatch):
+    from millrace.llm import samples
+
+    monkeypatch.setattr(samples, "BYTES", 4000)
+    docs = cases.plain(spark, ["x" * 100] * 200)
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i in range(200)], "doc_id long, toxic int")
+    bodies, marks, _ = samples.labelled(docs, labels, "toxic", 4, 2)
+    assert len(bodies) == 40 and sum(marks) == 20
+    huge = cases.plain(spark, ["x" * 9000, *["y" * 100] * 199])
+    assert set(samples.labelled(huge, labels, "toxic", 4, 2)[1]) == {0, 1}
