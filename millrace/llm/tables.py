@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,23 +25,66 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: spark.checkpoint.dir, else one of our own."""
+    """A folder that the driver and all executors share: that of spark.checkpoint.dir. Only one machine's own session may do without."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    return known or "file:///tmp/checkpoints/millrace"
+    if not known and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+    return f"{(known or 'file:///tmp/checkpoints').rstrip('/')}/millrace-{sc.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def clear(root: str) -> None:
+    """Remove a session's tables; nothing reads them once it ends."""
+    gateway = SparkContext._gateway
+    if gateway is None:
+        return
+    try:
+        path = gateway.jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except (Py4JError, OSError):  # the JVM has gone; the folder is left to whoever clears checkpoints
+        pass
+
+
+_ROOTS: set[str] = set()
+
+
+def written(df: DataFrame, name: str = "table", path: str | None = None, by: str | None = None) -> DataFrame:
     """df as a table in the shared folder: lost executors then cost a read, not the work before it.
 
-    The table stays until the folder is cleared, as checkpoints do.
+    The table stays until the driver's process ends. by: a column whose values get folders of their own.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    root = shared_dir(spark)
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(clear, root)
+    path = path or f"{root}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remainder(df_id, mod: int):
     """crc32 of an identifier as text, mod a number."""
     return F.crc32(df_id.cast("string").cast("binary")) % F.lit(mod)
+
+
+def squeezed(text: str = "text") -> Column:
+    """A text, null as empty, with each run of ASCII white space as one space."""
+    return F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+
+
+def apart(docs: DataFrame, key: Column) -> DataFrame:
+    """_id, _key and _row: each row's doc_id, a key of what it holds, and all its columns, whatever their names."""
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def chosen(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows, as they were before apart(), whose _id and _key are a pair of wanted's win_id and win_key."""
+    met = rows.join(wanted, F.col("_id").eqNullSafe(F.col("win_id")) & (F.col("_key") == F.col("win_key")), "left_semi")
+    return met.select(*[F.col("_row").getField(c).alias(c) for c in columns])
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """Of apart()'s rows with equal _id and _key, one. They are combined before the shuffle, so their number is no matter."""
+    return rows.groupBy("_id", "_key").agg(F.first("_row").alias("_row"))
