@@ -37,3 +37,18 @@ def same_ids(df):
     """The doc_ids of a result are those of the rows that went in, each as often."""
     got = sorted((r.doc_id for r in df.select("doc_id").collect()), key=repr)
     assert got == sorted((i for i, _ in TEXTS), key=repr)
+
+
+def kept_rows(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def wanted_rows(verdicts, docs):
+    """doc_id and text of the rows that a row-wise verdict (doc_id, ..., kept, sha of the text) keeps."""
+    import hashlib
+    import re
+
+    text = {}
+    for r in docs.collect():
+        text.setdefault((r.doc_id, hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "").encode()).hexdigest()), r.text)
+    return sorted(((v[0], text[v[0], v[-1]]) for v in verdicts if v[-2]), key=repr)
