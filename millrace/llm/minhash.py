@@ -6,31 +6,33 @@ cell and hashes of (shingle, cell, dart) say where. A document owns the darts be
 weights of its shingles. Each dart names a coordinate of the signature, which keeps
 its dart of the lowest rank. About k ln k + 2k darts fill k coordinates, so ranks are cut off at that
 number over the document's weight, and the few documents that miss one get twice as many.
-Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
+Two documents agree in a coordinate with the probability of their weighted Jaccard similarity. A shingle weighs as much
+as it occurs in the document, so this is the similarity of the bags of shingles, and links are verified as such:
+the sum of the lesser counts over the sum of the greater ones is 0.8 or more.
 
 Signatures are banded; documents that share a band are candidates. Each document is first compared with the
 centre (the smallest identifier) that it shares most bands with. What these links leave in several components
 within a bucket is compared there, in blocks of bounded size, by exact intersections of the shingle sets; only
 links between components leave a block. So no link is lost to a cap, and no pairs are listed.
 
-A document's words are the runs without ASCII white space, its shingles are its sets of five
+A document's words are the runs without ASCII white space, its shingles are its runs of five
 adjacent words (all its words, if it has one to four). Documents of equal words are one
-text. Null and wordless texts are equal to each other and near nothing else. Empty table: no rows.
+text. Null and wordless texts are equal to each other and near nothing else. A text, not a doc_id, is what is linked: rows
+that repeat a doc_id, or have none, belong to the classes of their texts. Null doc_ids come last. Empty table: no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
 from .graph import components, parts
-from .tables import texts, written
+from .tables import apart, chosen, one_of_each, squeezed, texts, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -121,8 +123,8 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return A.mix(h + np.arange(1, bands + 1, dtype=A.U64) * A.U64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def shingles(buf: np.ndarray, offs: np.ndarray, weight: str = "set") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, 52-bit hash and weight of the distinct shingles of a slab, by document and hash."""
+def shingles(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, 52-bit hash and count of the distinct shingles of a slab, by document and hash."""
     a, b, doc = A.words(buf, offs)
     h = A.span_hash(A.prefix_hash(buf), a, b)
     at, wide = A.windows(h, doc, WORDS)
@@ -134,48 +136,51 @@ def shingles(buf: np.ndarray, offs: np.ndarray, weight: str = "set") -> tuple[np
         begins = np.flatnonzero(np.concatenate([[True], ds[1:] != ds[:-1]]))
         place = np.arange(len(ds)) - np.repeat(begins, np.diff(np.append(begins, len(ds))))
         keys = np.concatenate([keys, A.doc_keys(ds[begins], A.mix(np.add.reduceat(A.mix(hs + place.astype(A.U64)), begins)))])
-    if weight == "count":
-        keys, counts = np.unique(keys, return_counts=True)
-        weights = counts.astype(np.float64)
-    else:
-        keys = np.unique(keys)
-        weights = np.ones(len(keys))
-    return (keys >> A.U64(A.KEY_BITS)).astype(np.int64), keys & A.U64((1 << A.KEY_BITS) - 1), weights
+    keys, counts = np.unique(keys, return_counts=True)
+    return (keys >> A.U64(A.KEY_BITS)).astype(np.int64), keys & A.U64((1 << A.KEY_BITS) - 1), counts
 
 
-def signed(docs: DataFrame, weight: str = "set") -> DataFrame:
-    """doc_id, text_key (a digest of the words), n_shingles and bands of each document. weight: "set" or "count"."""
+def text_key() -> Column:
+    """128 bits of a digest of a text's words."""
+    return F.unhex(F.substring(F.sha2(F.trim(squeezed()), 256), 1, 32))
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles (with repeats) and bands of each document."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            for i, j, buf, offs in A.slabs(batch.column(1)):
-                doc, elements, weights = shingles(buf, offs, weight)
-                sig = signatures(doc, A.mix(elements), weights, j - i)
-                raw = buf.tobytes()
-                keys = [hashlib.blake2b(A.squeeze(raw[a:b]).strip(b" "), digest_size=16).digest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            for i, j, buf, offs in A.slabs(batch.column(2)):
+                doc, elements, counts = shingles(buf, offs)
+                sig = signatures(doc, A.mix(elements), counts.astype(np.float64), j - i)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(band_hashes(sig).ravel()))
-                yield A.batch_of(schema, batch.column(0)[i:j], keys, np.bincount(doc, minlength=j - i), bands)
+                yield A.batch_of(schema, batch.column(0)[i:j], batch.column(1)[i:j], np.bincount(doc, counts, j - i).astype(np.int64), bands)
 
-    return texts(docs).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, bands array<long>")
+    return texts(docs).select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key binary, n_shingles long, bands array<long>")
 
 
 def _grams(docs: DataFrame) -> DataFrame:
-    """doc_id and its sorted shingle hashes, eight bytes each."""
+    """doc_id and a hash of eight bytes for each occurrence of a shingle, the first, second, ... of equal ones told apart: bags as sets."""
     schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for i, j, buf, offs in A.slabs(batch.column(1)):
-                doc, elements, _ = shingles(buf, offs)
-                ends = np.searchsorted(doc, np.arange(j - i + 1))
+                doc, elements, counts = shingles(buf, offs)
+                ends = np.cumsum(np.concatenate([[0], np.bincount(doc, counts, j - i)])).astype(np.int64)
+                if len(counts) and counts.max() > 1:
+                    begins = np.cumsum(counts) - counts
+                    nth = (np.arange(int(counts.sum())) - np.repeat(begins, counts)).astype(A.U64)
+                    elements = np.repeat(elements, counts)
+                    elements = np.where(nth > 0, A.mix(elements + nth * A.U64(0x9E3779B97F4A7C15)) >> A.U64(64 - A.KEY_BITS), elements)
                 yield A.batch_of(schema, batch.column(0)[i:j], [elements[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
     return docs.mapInArrow(run, "doc_id long, grams binary")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose shingle sets have at least the similarity."""
+    """The pairs a, b whose bags of shingles have at least the similarity."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -253,21 +258,30 @@ def _across(rows: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
     return units.join(bodies.hint("merge"), "doc_id").groupBy("bucket", "i", "j").applyInArrow(solve, "a long, b long")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), class_size, kept.
+def _nodes(sigs: DataFrame) -> DataFrame:
+    """text_key, rep (its smallest doc_id), node, n, copies and bands of each text. A node is rep, or a hash where rep is null or another text's too."""
+    reps = sigs.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    unclear = written(reps.groupBy("rep").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1 or rep is null").select(F.col("rep").alias("unclear"), F.lit(True).alias("met")), "unclear-ids")
+    if unclear.isEmpty():
+        return reps.withColumn("node", F.col("rep"))
+    told = reps.join(unclear, F.col("rep").eqNullSafe(F.col("unclear")), "left")
+    return told.withColumn("node", F.when(F.col("met"), F.xxhash64("text_key")).otherwise(F.col("rep"))).drop("unclear", "met")
 
-    A row for each row of docs. Rows of equal words share a class.
-    """
+
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, text_key, class_id, class_size, kept."""
     source = texts(docs)
     sigs = written(signed(source), "signatures")
-    reps = sigs.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
-    rows = reps.where("n > 0 and rep is not null").select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("bucket"))
+    reps = _nodes(sigs)
+    rows = reps.where("n > 0").select(F.col("node").alias("doc_id"), "rep", "text_key", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("centre")).where("members > 1").drop("members")
     live = written(rows.join(shared, "bucket"), "buckets")
     k = parts(live.count())
     # None of these has a proven bound, so none is broadcast at any size: plans, and what they shuffle, stay in proportion to the input.
-    involved = live.select("doc_id").distinct().coalesce(k)
-    bodies = written(_grams(source.join(involved.hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "shingles")
+    involved = live.select(F.col("doc_id").alias("node"), "rep", F.col("text_key").alias("key")).dropDuplicates(["node"]).coalesce(k)
+    met = source.withColumn("text_key", text_key()).join(involved.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("key")))
+    live = live.drop("rep", "text_key")
+    bodies = written(_grams(met.select(F.col("node").alias("doc_id"), "text")).dropDuplicates(["doc_id"]), "shingles")
     met = live.where("doc_id <> centre").groupBy("doc_id", "centre").agg(F.count(F.lit(1)).alias("bands")).coalesce(k)
     best = met.groupBy(F.col("doc_id").alias("a")).agg(F.max_by("centre", F.struct("bands", -F.col("centre"))).alias("b")).coalesce(k)
     links = written(_verified(best, bodies, similarity), "near-links")
@@ -279,14 +293,25 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     if not more.isEmpty():
         part = components(links.unionByName(more))
 
-    found = reps.select("text_key", "rep", "copies").join(part, F.col("rep") == part.node, "left").select("text_key", "copies", F.coalesce("component", "rep").alias("class_id"))
-    sizes = found.groupBy("class_id").agg(F.sum("copies").alias("class_size")).withColumnRenamed("class_id", "size_of")
-    found = found.join(sizes, F.col("class_id").eqNullSafe(F.col("size_of"))).select("text_key", "class_id", "class_size")
-    named = sigs.select("doc_id", "text_key").join(found, "text_key").drop("text_key")
-    return named.withColumn("kept", F.coalesce(F.col("doc_id").eqNullSafe(F.col("class_id")), F.lit(False)))
+    part = part.withColumnRenamed("node", "met")
+    found = reps.select("text_key", "rep", "copies", "node").join(part, F.col("node") == F.col("met"), "left").select("text_key", "rep", "copies", F.coalesce("component", "node").alias("component"))
+    # the smallest doc_id leads, null ones last; of texts that share it, that of the smallest digest
+    lead = F.min(F.struct(F.col("rep").isNull(), "rep", "text_key"))
+    sizes = found.groupBy(F.col("component").alias("class")).agg(F.sum("copies").alias("class_size"), lead.alias("lead"))
+    found = found.join(sizes, F.col("component") == F.col("class")).select("text_key", F.col("lead.rep").alias("class_id"), "class_size", (F.col("lead.text_key") == F.col("text_key")).alias("leads"))
+    named = sigs.select("doc_id", "text_key").join(found, "text_key")
+    return named.withColumn("kept", F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).drop("leads")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class), class_size, kept.
+
+    A row for each row of docs. Rows of equal words share a class.
+    """
+    return _classes(docs, similarity).drop("text_key")
 
 
 def keep(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, with the columns that docs came with."""
-    gone = classes(docs, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")
+    """One row of each class, with the columns that docs came with."""
+    win = _classes(docs, similarity).where("kept").select(F.col("doc_id").alias("win_id"), F.col("text_key").alias("win_key"))
+    return chosen(one_of_each(apart(docs, text_key())), win, docs.columns)

@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,13 +11,17 @@ from . import cases
 
 
 def grams(text):
+    """The shingles of a text, the first, second, ... of equal ones told apart: a bag as a set."""
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    seen, out = Counter(), set()
+    for g in [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []:
+        out.add((g, seen[g]))
+        seen[g] += 1
+    return out
 
 
 def slow(rows, similarity=0.8):
-    """The smallest identifier of each row's connected class, by comparing all pairs."""
-    ids = [i for i, _ in rows]
+    """doc_id, class_id and class size of each row, by comparing all pairs."""
     sets = [grams(t) for _, t in rows]
     label = list(range(len(rows)))
 
@@ -29,21 +35,21 @@ def slow(rows, similarity=0.8):
             both = len(sets[a] & sets[b])
             if (not sets[a] and not sets[b]) or (both and both >= similarity * len(sets[a] | sets[b])):
                 label[root(a)] = root(b)
-    least = {}
-    for k, i in enumerate(ids):
-        if i is not None:
-            least[root(k)] = min(least.get(root(k), i), i)
-    return {i: least.get(root(k)) for k, i in enumerate(ids) if i is not None}
+    groups = [[i for k, (i, _) in enumerate(rows) if root(k) == r] for r in range(len(rows))]
+    return sorted(((i, min((j for j in groups[root(k)] if j is not None), default=None), len(groups[root(k)])) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+def told(df):
+    return sorted(((r.doc_id, r.class_id, r.class_size) for r in df.collect()), key=repr)
 
 
 def test_against_all_pairs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = slow([(r.doc_id, r.text) for r in docs.collect()])
-    got = minhash.classes(docs).collect()
-    assert {r.doc_id: r.class_id for r in got} == want
-    sizes = {c: list(want.values()).count(c) for c in want.values()}
-    assert all(r.class_size == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in got)
-    assert len(set(want.values())) < len(want)
+    got = minhash.classes(docs)
+    assert told(got) == want
+    assert all(r.kept == (r.doc_id == r.class_id) for r in got.collect())
+    assert len({c for _, c, _ in want}) < len(want)
 
 
 def test_chains_in_hot_buckets(spark, monkeypatch):
@@ -51,19 +57,39 @@ def test_chains_in_hot_buckets(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     words = [f"w{i}" for i in range(400)]
     rows = [" ".join(words[i : i + 100]) for i in range(0, 120, 4)] + [" ".join(f"z{j}_{i}" for i in range(50)) for j in range(5)]
-    got = {r.doc_id: r.class_id for r in minhash.classes(cases.plain(spark, rows)).collect()}
-    assert got == slow(list(enumerate(rows)))
+    assert told(minhash.classes(cases.plain(spark, rows))) == slow(list(enumerate(rows)))
+
+
+def test_shingles_count_as_often_as_they_occur(spark):
+    rng = random.Random(8)
+    one, two = (" ".join(f"{k}{rng.randrange(900)}" for _ in range(60)) for k in "ab")
+    rows = [one, f"{one} {one}", f"{one} {one} {one} {one} {one} {one} {one}", f"{one} {one} {one} {one} {one} {one} {one} {one}", f"{two} {one}", f"{one} {one} {one} {one} {one} {one} {one} {two}"]
+    want = slow(list(enumerate(rows)))
+    assert {i: c for i, c, _ in want} == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4, 5: 2}
+    assert told(minhash.classes(cases.plain(spark, rows))) == want
 
 
 def test_edges(spark):
-    got = minhash.classes(cases.edge(spark))
-    cases.same_ids(got)
-    want = slow(cases.TEXTS)
-    assert {r.doc_id: r.class_id for r in got.where("doc_id is not null").collect()} == want
-    assert minhash.classes(cases.empty(spark)).count() == 0
     docs = cases.edge(spark)
+    assert told(minhash.classes(docs)) == slow(cases.TEXTS)
+    assert minhash.classes(cases.empty(spark)).count() == 0
     kept = minhash.keep(docs)
-    assert kept.columns == docs.columns and {1, 2, 5, 6, 8, -5} <= {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs.columns
+    assert [(i, (t or "")[:20]) for i, t in cases.kept_rows(kept)] == sorted([(i, (t or "")[:20]) for i, t in dict.fromkeys(cases.TEXTS) if i not in (3, 4, 7, 9) and (i is not None or t)], key=repr)
+
+
+def test_rows_that_share_an_identifier_or_have_none(spark):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"{k}{rng.randrange(900)}" for _ in range(80)) for k in "abcd")
+    near = lambda t: t + " one more"
+    rows = [(0, a), (1, near(a)), (1, b), (None, near(b)), (None, c), (None, near(c)), (2, d), (2, near(d)), (2, d), (1, c + " " + d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert told(minhash.classes(docs)) == slow(rows)
+    assert len(cases.kept_rows(minhash.keep(docs))) == 5
+    kept = {t for _, t in cases.kept_rows(minhash.keep(docs))}
+    assert {a, b, c + " " + d} < kept
+    for rows, want in (([(0, "x y z"), (1, "x y z"), (1, "unique text of one")], [(0, "x y z"), (1, "unique text of one")]), ([(1, "same")] * 3, [(1, "same")])):
+        assert cases.kept_rows(minhash.keep(spark.createDataFrame(rows, "doc_id long, text string"))) == want
 
 
 def test_coordinates_agree_as_often_as_the_weighted_similarity():
