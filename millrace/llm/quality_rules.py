@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .tables import apart, chosen, written
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_lines", "n_upper", "n_bangs"]
@@ -101,17 +102,22 @@ def _count(column) -> np.ndarray:
     return np.concatenate(out, axis=1) if out else np.zeros((len(COUNTS + EXTRA), 0), np.int64)
 
 
+def _content(docs: DataFrame) -> Column:
+    """A hash of all that a verdict depends on: rows of one doc_id may differ in it."""
+    return F.xxhash64(*[F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("text", "lang", "source")])
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of each whole text."""
+    """doc_id, lang, source, a hash of the content, and the counts of each whole text."""
     fields = ["doc_id", "lang", "source"]
     have = [F.col(c).cast("long" if c == "doc_id" else "string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in fields]
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), *[(c, pa.int64()) for c in COUNTS + EXTRA]])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("content", pa.int64()), *[(c, pa.int64()) for c in COUNTS + EXTRA]])
 
     def run(batches):
         for batch in batches:
-            yield A.batch_of(schema, batch.column(0), batch.column(1), batch.column(2), *_count(batch.column(3)))
+            yield A.batch_of(schema, *(batch.column(i) for i in range(4)), *_count(batch.column(4)))
 
-    return docs.select(*have, F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS + EXTRA))
+    return docs.select(*have, _content(docs).alias("content"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang string, source string, content long, " + ", ".join(f"{c} long" for c in COUNTS + EXTRA))
 
 
 def base_failed() -> Column:
@@ -146,10 +152,7 @@ def fences(measured: DataFrame, signals: tuple[Signal, ...] = SIGNALS, least_gro
     return rows.select("lang", "source", *[pick(s).alias(f"fence_{s.name}") for s in signals])
 
 
-def judge(docs: DataFrame, signals: tuple[Signal, ...] = SIGNALS) -> DataFrame:
-    """One row for each document: its counts, base_failed and kept."""
-    from .tables import written
-
+def _judged(docs: DataFrame, signals: tuple[Signal, ...]) -> DataFrame:
     counts = written(measure(docs), "quality")
     limits = fences(counts, signals).select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[f"fence_{s.name}" for s in signals])
     # A hot source makes a hot key of this join; the fences of all sources are one small row each, and AQE splits the large side.
@@ -158,10 +161,15 @@ def judge(docs: DataFrame, signals: tuple[Signal, ...] = SIGNALS) -> DataFrame:
     for s in signals:
         value = F.expr(s.value) if isinstance(s.value, str) else s.value
         within &= F.coalesce(value.between(F.col(f"fence_{s.name}.low"), F.col(f"fence_{s.name}.high")), F.lit(True))
-    return joined.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & within).alias("kept"), *EXTRA)
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & within)
+
+
+def judge(docs: DataFrame, signals: tuple[Signal, ...] = SIGNALS) -> DataFrame:
+    """One row for each document: its counts, base_failed and kept."""
+    return _judged(docs, signals).select("doc_id", *COUNTS, "base_failed", "kept", *EXTRA)
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    good = judge(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The documents that pass, with the columns they came with. Each row goes by its own verdict, also where it shares its doc_id."""
+    good = _judged(docs, SIGNALS).where("kept").select(F.col("doc_id").alias("win_id"), F.col("content").alias("win_key"))
+    return chosen(apart(docs, _content(docs)), good, docs.columns)

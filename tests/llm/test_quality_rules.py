@@ -48,3 +48,10 @@ def test_fences_follow_their_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     gone = {r.doc_id for r in Q.judge(docs).where("not kept").collect()}
     assert gone == {i for i, t, _, s in rows if s == "prose" and "#" in t}
+
+
+def test_each_row_goes_by_its_own_verdict(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, good), (1, "too short"), (None, good), (None, "short"), (None, None), (2, good), (2, good)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    assert cases.kept_rows(Q.keep(docs)) == sorted([(1, good), (None, good), (2, good), (2, good)], key=repr)
