@@ -4,7 +4,8 @@ The base finds e-mail addresses, IPv4 addresses, payment cards and phone numbers
 transducers rewrites the text, carrying for each output character the span of source characters that it
 stands for: look-alike characters become ASCII ones, bracketed or spelled "at" and "dot" become their
 signs, and spelled digits (English, German, French, Spanish) become digits. What the same detectors find in the rewritten
-text is mapped back through these spans. Base finds stay; a mapped find is added if it overlaps none of its kind.
+text is mapped back through these spans. Base finds stay; a mapped find is added if it overlaps none of its kind; from the left, where two of
+them overlap.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are
 searched each. Empty table: no rows. Work is linear in the text's length, also for one endless word.
@@ -56,7 +57,7 @@ def _emails(text: str) -> list[tuple[int, int]]:
 
 
 def _ips(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    return [m.span() for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m[0].split("."))]
 
 
 def _cards(text: str) -> list[tuple[int, int]]:
@@ -253,19 +254,21 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
     tape = normalised(text)
     if tape is None:
         return plain, plain
-    every = {}
-    for kind, detect in DETECTORS.items():
-        spans = list(plain[kind])
-        for a, b in detect(tape.text):
-            a, b = tape.source(a, b)
-            if not any(a < y and x < b for x, y in _near(spans, a, b)):
-                spans.append((a, b))
-        every[kind] = sorted(spans)
-    return plain, every
-
-
-def _near(spans: list[tuple[int, int]], a: int, b: int):
-    return [s for s in spans if s[0] < b and s[1] > a]
+    return plain, {kind: _added(plain[kind], [tape.source(a, b) for a, b in detect(tape.text)]) for kind, detect in DETECTORS.items()}
+
+
+def _added(known: list[tuple[int, int]], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The known spans, which overlap none of each other, and those of found, from the left, that overlap none before."""
+    out, i, end = [], 0, 0
+    for a, b in sorted(found):
+        while i < len(known) and known[i][0] <= a:
+            out.append(known[i])
+            end = known[i][1]
+            i += 1
+        if a >= end and (i == len(known) or b <= known[i][0]):
+            out.append((a, b))
+            end = b
+    return out + known[i:]
 
 
 def listed(spans: dict[str, list[tuple[int, int]]]) -> str:
