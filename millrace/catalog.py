@@ -256,30 +256,47 @@ def web_cleanup(spark, sf):
     return _table(spark, sf, "pages").select("page_id", T.clean_web("html").alias("text"))
 
 
-_LITERARY = r"regexp_replace(regexp_replace(regexp_replace(line, 'https?://\S+', '', 'g'), '\S+@\S+\.\S+', '', 'g'), '&(?:[A-Za-z]+|#[0-9]+|#x[0-9A-Fa-f]+);', '', 'g')"
+#: The lines with addresses put in that touch words, marks and each other.
+_ADDRESSED = "replace(replace(line, ' a', ' a@b.co.uk;a'), ' e', ' (e@x.com,e) https://x.y/e e_1%+-@x-1.org.e @x.org e@x.1 ')"
 
 
-@_query(f"{_WITH} SELECT doc_id, line_no, {_words(_LITERARY)} AS words FROM lines")
+@_query(rf"""{_WITH} SELECT doc_id, line_no, {_words("regexp_replace(regexp_replace(regexp_replace(" + _ADDRESSED + r", 'https?://\S+', '', 'g'), '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', '', 'g'), '&(?:[a-zA-Z]+|#[0-9]+|#x[0-9a-fA-F]+);', '', 'g')")} AS words FROM lines""")
 def literary_cleanup(spark, sf):
-    return _lines(spark, sf).select("doc_id", "line_no", T.joined(T.literary_words("line")).alias("words"))
+    line = F.replace(F.replace("line", F.lit(" a"), F.lit(" a@b.co.uk;a")), F.lit(" e"), F.lit(" (e@x.com,e) https://x.y/e e_1%+-@x-1.org.e @x.org e@x.1 "))
+    return _lines(spark, sf).select("doc_id", "line_no", T.joined(T.literary_words(line)).alias("words"))
 
 
 def _wiki_sql(c: str) -> str:
-    steps = [*[(r"\{\{[^{}]*\}\}", "")] * 3, (r"(?s)<ref[^>]*>.*?</ref>", ""), (r"<ref[^>]*/>", ""), (r"(?s)<!--.*?-->", ""), (r"<[^>]+>", ""), (r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", r"\1")]
-    steps += [(r"\[https?://[^\s\]]+\s+([^\]]+)\]", r"\1"), (r"\[https?://[^\]]+\]", ""), ("''{2,3}", ""), (r"(?m)^=+\s*", ""), (r"(?m)\s*=+$", "")]
+    # the fixed values, written down apart from the engine's
+    steps = [*[(r"\{\{[^{}]*\}\}", "")] * 3, (r"(?s)<ref[^>]*>.*?</ref>", ""), (r"<ref[^>]*/>", ""), (r"(?s)<!--.*?-->", ""), (r"<[^>]+>", ""), (r"\[\[([^\]|]*\|)?([^\]]*)\]\]", r"\2")]
+    steps += [(r"\[https?://\S+\s+([^\]]*)\]", r"\1"), (r"\[https?://\S+\]", ""), ("''''''|''''", ""), (r"(?m)^[=]+\s*|\s*[=]+$", "")]
     for pattern, new in steps:
         c = f"regexp_replace({c}, '{pattern}', '{new}', 'g')"
     return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 
 
-_WIKI_TEXT = "replace(replace(replace(text, '. ', '.' || chr(10) || '== '), ' a', ' [[b|a]] '), ' e', ' {{{{x}}e}} <ref name=\"q\">r</ref>')"
+#: What is put into the documents, in this order: headings, links of all kinds, templates, references, emphasis.
+_MARKUP = (
+    (". ", ".\n== "),
+    (" a", " [[b|a]] [[a|]] [[]] [[|a]] [[a]]a"),
+    (" i", " [http://i]i [i] [https://i.x i i] [http://i.x ] [https://i]"),
+    (" e", ' {{{{x}}e}} <ref name="q">r</ref><ref name=\'q\'/> '),
+    (" o", " ==\n\n==\no '''o'' <!-- o\no -->"),
+)
 
 
-@_query(f"SELECT doc_id, {_wiki_sql(_WIKI_TEXT)} AS text FROM documents")
+def _put_in(c: str) -> str:
+    for old, new in _MARKUP:
+        new = new.replace("'", "''").replace("\n", "' || chr(10) || '")
+        c = f"replace({c}, '{old}', '{new}')"
+    return c
+
+
+@_query(f"SELECT doc_id, {_wiki_sql(_put_in('text'))} AS text FROM documents")
 def wiki_cleanup(spark, sf):
     """The documents with markup put in."""
     text = F.col("text")
-    for old, new in ((". ", ".\n== "), (" a", " [[b|a]] "), (" e", ' {{{{x}}e}} <ref name="q">r</ref>')):
+    for old, new in _MARKUP:
         text = F.replace(text, F.lit(old), F.lit(new))
     return _table(spark, sf, "documents").select("doc_id", T.clean_wiki(text).alias("text"))
 
@@ -402,19 +419,72 @@ def sample_per_source(spark, sf):
     return corpus.sample_each(_table(spark, sf, "documents"), "source", 3).select("doc_id", "source")
 
 
-@_query("SELECT doc_id, source FROM documents WHERE doc_id % 68 = 0")
+@_query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) WHERE r % 68 = 0")
 def systematic_sample(spark, sf):
+    """By the rank of the row, whatever the numbers are."""
     return corpus.every_nth(_table(spark, sf, "documents"), 68).select("doc_id", "source")
 
 
 # -- marking ----------------------------------------------------------------------------------------------------
 
 
-def _cuts_sql(c: str) -> str:
+# The rules as pairs of patterns, left and right of a cut, written down apart from the engine's table.
+_SQL_V, _SQL_C = "[அஆஇஈஉஊஎஏஐஒஓஔ]", "கஙசஞடணதநபமயரலவழளறன"
+_SQL_CORE = [
+    ("அ", "அ|ஆ"),
+    ("அ", "இ|ஈ"),
+    ("அ", "உ|ஊ"),
+    ("அ", "எ|ஏ|ஒ|ஓ|ஐ|ஔ"),
+    ("இ|ஈ", _SQL_V),
+    ("உ|ஊ", _SQL_V),
+    ("எ|ஏ|ஒ|ஓ|ஐ|ஔ", _SQL_V),
+    ("ி|ீ|ை", _SQL_V),
+    ("ு|ூ", _SQL_V),
+    ("ா|ெ|ே|ொ|ோ|ௌ", _SQL_V),
+    ("இ|ஈ|ஐ", _SQL_V),
+    ("ஏ", _SQL_V),
+    (f"[{_SQL_C}]்", _SQL_V),
+    ("வடக்கு|தெற்கு|குடக்கு|குணக்கு|கிழக்கு|மேற்கு", r"\S"),
+    ("கண்|பண்|மண்|தண்|எண்|வண்", _SQL_V),
+    (_SQL_V, "ஐ"),
+    (_SQL_V, "(?:உ|க்)கு"),
+    (_SQL_V, "ஆல்|னால்"),
+    (_SQL_V, "இல்|அல்"),
+    (_SQL_V, "இடம்|உடன்|முன்|பின்|ஓடு|ஓடே"),
+    (_SQL_V, "கள்"),
+    (f"[{_SQL_C}]்", "கள்"),
+    (_SQL_V, "வர்கள்|வர்"),
+    ("ி|உ|அ", "போ|வா|இரு|உள்|கொள்|விடு|ஆகு"),
+    ("த்து|ட்டு", "கொள்|விடு|போ|ஆகு"),
+    ("ஆன|என்|உம்", r"\S"),
+    ("[௦-௯0-9]+", "ஆம்(?: நாள்| ஆண்டு)?"),
+    ("[௦-௯0-9]+", "ஐ"),
+    ("அந்த|இந்த|அத்துணை|இத்துணை|எத்துணை|அவ்வகை|இவ்வகை|எவ்வகை|மற்று|மற்றை|மற்ற|அரை|பாதி", r"\S"),
+]
+_SQL_AGGRESSIVE = [
+    ("[ாிீுூெேைொோௌ]", "ய|வ"),
+    ("ங்", "க"),
+    ("ஞ்", "ச"),
+    ("ண்", "ட"),
+    ("ந்", "த"),
+    ("ம்", "ப"),
+    ("ன்", "ற"),
+    ("ங்|ஞ்|ண்|ந்|ம்|ன்", "க|ச|ட|த|ப|ற"),
+    ("ல்", "ச"),
+    ("ர்|ற்", "ர"),
+    ("ன்|ண்", "ட|த"),
+]
+
+
+def _cuts_sql(c: str, rules: list[tuple[str, str]] = _SQL_CORE, doubled: bool = False) -> str:
     sets = []
-    for rule in marking.CORE:
-        parts = rf"string_split(regexp_replace({c}, '({rule.left})({rule.right})', '\1' || chr(1) || '\2', 'g'), chr(1))"
+    for left, right in rules:
+        parts = rf"string_split(regexp_replace({c}, '({left})({right})', '\1' || chr(1) || '\2', 'g'), chr(1))"
         sets.append(f"(SELECT list_transform(range(1, len(p)), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) AS BIGINT)) FROM (SELECT {parts} AS p))")
+    if doubled:  # any consonant, the sign, and the same again; after one such pair the search goes on behind it
+        alike = "|".join(f"{x}்{x}" for x in _SQL_C)
+        parts = rf"string_split(regexp_replace({c}, '({alike})', chr(1) || '\1', 'g'), chr(1))"
+        sets.append(f"(SELECT list_transform(range(1, len(p)), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + 2 AS BIGINT)) FROM (SELECT {parts} AS p))")
     return f"list_sort(list_distinct(flatten([{', '.join(sets)}])))"
 
 
@@ -425,6 +495,17 @@ def boundary_cuts(spark, sf):
     return lines.select("doc_id", "line_no", F.array_join(marking.boundaries("line").cast("array<string>"), ",").alias("cuts"))
 
 
+_DOUBLES = "".join(f"{x}்{x} " for x in _SQL_C)
+
+
+@_query(f"""{_WITH_TAMIL}, d AS (SELECT doc_id, line_no, replace(line, ' ', '{_DOUBLES}') AS line FROM tamil) SELECT doc_id, line_no, array_to_string({_cuts_sql('line', _SQL_CORE + _SQL_AGGRESSIVE, True)}, ',') AS cuts FROM d""")
+def all_boundary_cuts(spark, sf):
+    """By both tiers of rules, of the lines written in Tamil letters with each doubled consonant put in."""
+    line = F.replace(_tamil("line"), F.lit(" "), F.lit(_DOUBLES))
+    lines = _lines(spark, sf).select("doc_id", "line_no", line.alias("line"))
+    return lines.select("doc_id", "line_no", F.array_join(marking.boundaries("line", marking.CORE + marking.AGGRESSIVE).cast("array<string>"), ",").alias("cuts"))
+
+
 @_query(f"""{_WITH_TAMIL}, c AS (SELECT doc_id, line_no, line, list_filter({_cuts_sql('line')}, lambda x: x > 0 AND x < length(line)) AS cuts FROM tamil)
     SELECT doc_id, line_no, array_to_string(list_transform(range(0, len(cuts) + 1), lambda i: substring(line, CAST(coalesce(list_extract(cuts, i), 0) AS BIGINT) + 1, coalesce(list_extract(cuts, i + 1), length(line)) - coalesce(list_extract(cuts, i), 0))), '⟂') AS marked, true AS restores FROM c""")
 def boundary_marks(spark, sf):

@@ -1,8 +1,8 @@
 """Phonological boundaries and grapheme placeholders: lossless marks for subword training.
 
 A rule is two patterns, left and right; it matches left then right and cuts between them. Rules are matched each on the
-source text, without overlap within a rule, and their cuts are united. boundaries() does so with built-in
-functions; boundaries_udf() is a second, independent implementation.
+source text, without overlap within a rule, and their cuts are united. This is done in Arrow batches by compiled
+patterns; built_in_boundaries() says the same with built-in functions, at many times the cost for so many patterns.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ AGGRESSIVE = (
     Rule("glide letters", "[ாிீுூெேைொோௌ]", "[யவ]"),
     *[Rule("nasals", n + VIRAMA, s) for n, s in zip("ஙஞணநமன", "கசடதபற", strict=True)],
     Rule("nasals", "[ஙஞணநமன]" + VIRAMA, "[கசடதபற]"),
-    Rule("doubled", "(?<letter>[கசதப])" + VIRAMA, "\\k<letter>"),
+    Rule("doubled", f"(?<letter>{C})" + VIRAMA, "\\k<letter>"),
     Rule("laterals", "ல்", "ச"),
     Rule("rhotics", "[ரற]" + VIRAMA, "ர"),
     Rule("alveolars", "[னண]" + VIRAMA, "[டத]"),
@@ -98,8 +98,8 @@ def _rule_cuts(text: Column, rule: Rule) -> Column:
     return _let(marked, lambda m: F.when(~F.contains(m, F.lit(CUT)), none).otherwise(_let(F.split(m, CUT), lambda parts: F.when(F.size(parts) <= FEW, few(parts)).otherwise(many(m)))))
 
 
-def boundaries(c: Column | str, rules: tuple[Rule, ...] = CORE) -> Column:
-    """Sorted distinct offsets of the cuts, in code points. The text must not hold U+0001."""
+def built_in_boundaries(c: Column | str, rules: tuple[Rule, ...] = CORE) -> Column:
+    """boundaries() without Python. The text must not hold U+0001."""
     cuts = lambda t: F.array_sort(F.array_distinct(F.concat(*[_rule_cuts(t, rule) for rule in rules])))
     return _let(_col(c), lambda t: F.when(t.rlike(r"[^\x00-\x{02ff}]"), cuts(t)).otherwise(F.array().cast("array<int>")))
 
@@ -109,16 +109,32 @@ def _python(rule: Rule) -> re.Pattern:
     return re.compile(f"(?P<l>{left})(?P<r>{right})")
 
 
-def boundaries_udf(rules: tuple[Rule, ...] = CORE):
+#: All rules need a character beyond these.
+_NONE = re.compile("[\x00-\u02ff]*")
+
+
+def _cutter(rules: tuple[Rule, ...]):
     patterns = [_python(r) for r in rules]
 
-    @F.pandas_udf("array<int>")
-    def cuts(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: sorted({m.start("r") for p in patterns for m in p.finditer(t or "")}))
+    def cuts(text: str) -> list[int]:
+        if _NONE.fullmatch(text):
+            return []
+        return sorted({m.start("r") for p in patterns for m in p.finditer(text)})
 
     return cuts
 
 
+def boundaries(c: Column | str, rules: tuple[Rule, ...] = CORE) -> Column:
+    """Sorted distinct offsets of the cuts, in code points."""
+    cuts = _cutter(rules)
+
+    @F.pandas_udf("array<int>")
+    def found(s: pd.Series) -> pd.Series:
+        return s.map(cuts)
+
+    return found(_col(c))
+
+
 def _pieces(text: Column, cuts: Column) -> Column:
     def between(ends: Column, chars: Column) -> Column:
         begins = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
@@ -134,9 +150,18 @@ def _col(c: Column | str) -> Column:
 
 def mark(c: Column | str, lang: Column | str | None = None, rules: tuple[Rule, ...] = CORE) -> Column:
     """The text with a mark at each cut inside it; English text as it is. unmark() undoes it."""
+    cuts = _cutter(rules)
+
+    @F.pandas_udf("string")
+    def put(s: pd.Series) -> pd.Series:
+        def one(text: str) -> str:
+            at = [x for x in cuts(text) if 0 < x < len(text)]
+            return MARK.join(text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)) if at else text
+
+        return s.map(one)
+
     text = _col(c)
-    marked = _let(text, lambda t: F.array_join(F.transform(_pieces(t, boundaries(t, rules)), lambda p: p.token), MARK))
-    return marked if lang is None else F.when(F.lower(_col(lang)).isin("en", "english"), text).otherwise(marked)
+    return put(text) if lang is None else F.when(F.lower(_col(lang)).isin("en", "english"), text).otherwise(put(text))
 
 
 def unmark(c: Column | str) -> Column:
@@ -155,7 +180,8 @@ def space_boundaries(c: Column | str) -> Column:
 def spans(c: Column | str, rules: tuple[Rule, ...] = CORE) -> Column:
     """token, start, end of the pieces between all cuts and changes of white space; together they are the text."""
     none = F.array().cast("array<struct<token:string,start:int,end:int>>")
-    return _let(_col(c), lambda t: F.when(F.length(t) == 0, none).otherwise(_pieces(t, F.array_sort(F.array_union(boundaries(t, rules), space_boundaries(t))))))
+    cuts = boundaries(c, rules)
+    return _let(F.struct(_col(c).alias("t"), cuts.alias("cuts")), lambda x: F.when(F.length(x.t) == 0, none).otherwise(_pieces(x.t, F.array_sort(F.array_union(x.cuts, space_boundaries(x.t))))))
 
 
 # -- graphemes ------------------------------------------------------------------------------------------------

@@ -36,19 +36,25 @@ def has_script(c: Column | str, profile: ScriptProfile = LATIN) -> Column:
     return _text(c).rlike(profile.letters)
 
 
+#: White space and all else, as Python's patterns have them.
+_S, _NOT_S = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
+# What counts as markup, a link, an address or an entity.
 WIKI_STEPS = (
     *[(r"\{\{[^{}]*\}\}", "")] * 3,
-    (r"(?sU)<ref[^>]*>.*?</ref>", ""),
-    (r"(?U)<ref[^>]*/>", ""),
+    (r"(?s)<ref[^>]*>.*?</ref>", ""),
+    (r"<ref[^>]*/>", ""),
     (r"(?s)<!--.*?-->", ""),
     (r"<[^>]+>", ""),
-    (r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1"),
-    (r"(?U)\[https?://[^\s\]]+\s+([^\]]+)\]", "$1"),
-    (r"\[https?://[^\]]+\]", ""),
-    (r"'{2,3}", ""),
-    (r"(?mdU)^=+\s*", ""),
-    (r"(?mdU)\s*=+$", ""),
+    (r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1"),
+    (rf"(?U)\[https?://{_NOT_S}+{_S}+([^\]]*)\]", "$1"),
+    (rf"(?U)\[https?://{_NOT_S}+\]", ""),
+    (r"'''|''", ""),
+    (rf"(?mdU)^=+{_S}*|{_S}*=+$", ""),
 )
+URL = rf"(?U)https?://{_NOT_S}+"
+ENTITY = r"&(?:[a-zA-Z]+|#[0-9]+|#x[0-9a-fA-F]+);"
+#: A match begins where a run of an address's characters does, or where the last match ended.
+EMAIL = r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
 
 def _steps(c: Column, steps) -> Column:
@@ -62,9 +68,6 @@ def clean_wiki(c: Column | str) -> Column:
     return strip(_steps(_text(c), WIKI_STEPS))
 
 
-URL, ENTITY, EMAIL = r"(?U)https?://\S+", r"&(?:[A-Za-z]+|#[0-9]+|#x[0-9A-Fa-f]+);", r"(?U)\S+@\S+\.\S+"
-
-
 def clean_web(c: Column | str, profile: ScriptProfile = LATIN) -> Column:
     """Links and entities dropped, the profile's words joined by single spaces."""
     return joined(extract_words(_steps(_text(c), ((URL, ""), (ENTITY, ""))), profile))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..profiles import LATIN, ScriptProfile
+from ..tables import written
 
 LONG, RATIO, SHORT = 2500, 0.3, 2
 ORDER = ("source", "doc_id", "line_no")
@@ -54,14 +55,29 @@ def _rank_key(seed: int, order: tuple[str, ...]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in order]))
 
 
+def numbered(df: DataFrame, order: tuple[str, ...] = ORDER, name: str = "row_no") -> DataFrame:
+    """df with the rank of each row in the order, from 0.
+
+    The rows are sorted by ranges and written, with their place in their range; the ranges' sizes, a row for each range, then give
+    the rank of its first row. No window spans all rows.
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(ranges.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "ranked")
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    first = sizes.select(F.col("_range").alias("_of"), (F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).alias("_first"))
+    # as many rows as there are ranges
+    return placed.join(F.broadcast(first), F.col("_range") == F.col("_of")).withColumn(name, F.coalesce("_first", F.lit(0)) + F.col("_place")).drop("_range", "_place", "_of", "_first")
+
+
 def exact_split(lines: DataFrame, share: float = 0.1, seed: int = 42, order: tuple[str, ...] = ORDER, train_down: bool = False) -> DataFrame:
     """split: exactly floor(share * rows) test rows, chosen by a seeded hash of their place; the rest train.
 
     With train_down it is the train rows that are rounded down.
 
-    The boundary is found from a histogram of the hash's first 16 bits and one bucket of it; there is no window over all rows.
+    The rows are made once and written with their keys; the border is found from a histogram of the key's first 16 bits and one
+    bucket of it. There is no window over all rows.
     """
-    keyed = lines.withColumn("_key", _rank_key(seed, order)).withColumn("_bucket", F.conv(F.substring("_key", 1, 4), 16, 10).cast("int"))
+    keyed = written(lines.withColumn("_key", _rank_key(seed, order)).withColumn("_bucket", F.conv(F.substring("_key", 1, 4), 16, 10).cast("int")), "keyed")
     counts = sorted((r["_bucket"], r["count"]) for r in keyed.groupBy("_bucket").count().collect())  # 65,536 rows at most
     rows = sum(n for _, n in counts)
     left = rows - int((1 - share) * rows) if train_down else int(share * rows)
@@ -84,8 +100,7 @@ def shuffled_split(lines: DataFrame, share: float = 0.1, seed: int = 42, order:
     import random
 
     spark = lines.sparkSession
-    ranked = lines.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    ranked = spark.createDataFrame(ranked, lines.schema.add("_row", "long"))
+    ranked = numbered(lines, order, "_row")
     n = ranked.count()
     if n > most:
         raise ValueError(f"{n} lines are more than {most}; use exact_split")
@@ -105,9 +120,9 @@ def sample_each(df: DataFrame, by: str, k: int, seed: int = 42, order: tuple[str
     return df.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
-def every_nth(df: DataFrame, n: int, by: str = "doc_id") -> DataFrame:
-    """A systematic sample by the rank of a key within its range of rows."""
-    return df.where(F.pmod(F.col(by), F.lit(n)) == 0)
+def every_nth(df: DataFrame, n: int, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A systematic sample: the first row in the order, and each nth after it."""
+    return numbered(df, order, "_rank").where(F.col("_rank") % n == 0).drop("_rank")
 
 
 def audit(lines: DataFrame, profile: ScriptProfile = LATIN, most: int | None = None, order: tuple[str, ...] = ORDER) -> DataFrame:

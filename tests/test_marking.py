@@ -25,7 +25,7 @@ def test_two_implementations_agree_and_marks_come_off(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice(WORDS) if rng.random() < 0.3 else rng.choice(CHARS) for _ in range(rng.randrange(30))) for _ in range(600)]
     rules = M.CORE + M.AGGRESSIVE
-    rows = _frame(spark, texts).select("t", M.boundaries("t", rules).alias("a"), M.boundaries_udf(rules)("t").alias("b"), M.unmark(M.mark("t", None, rules)).alias("back"), M.spans("t", rules).alias("spans"))
+    rows = _frame(spark, texts).select("t", M.boundaries("t", rules).alias("a"), M.built_in_boundaries("t", rules).alias("b"), M.unmark(M.mark("t", None, rules)).alias("back"), M.spans("t", rules).alias("spans"))
     for r in rows.collect():
         assert r.a == r.b, r.t
         assert r.back == r.t
@@ -33,6 +33,12 @@ def test_two_implementations_agree_and_marks_come_off(spark):
         assert all(r.t[s.start : s.end] == s.token for s in r.spans)
 
 
+def test_all_doubled_consonants_are_cut(spark):
+    text = " ".join(f"{c}்{c}" for c in "கஙசஞடணதநபமயரலவழளறன")
+    got = _frame(spark, [text, "க்க ச்ச ல்ல ன்ன ம்ம"]).select("i", M.boundaries("t", M.AGGRESSIVE).alias("c")).orderBy("i").collect()
+    assert got[0].c == [4 * k + 2 for k in range(18)] and got[1].c == [2, 6, 10, 14, 18]
+
+
 def test_a_long_line_is_linear(spark):
     text = "கடவுள்அருள் " * 40_000
     got = _frame(spark, [text]).select(F.length(M.mark("t")).alias("n")).first().n

@@ -28,9 +28,17 @@ def value(spark, text, f):
         ("'''அ''' <!-- x\ny --> <b>ஆ</b>", T.clean_wiki, "அ  ஆ"),
         ("== அ ==\nஆ", T.clean_wiki, "அ\nஆ"),
         (None, T.clean_wiki, ""),
+        ("x[[a|]]y[[]]z[[|b]]", T.clean_wiki, "xyzb"),
+        ("[http://a]b [c]", T.clean_wiki, "[c"),
+        ("[http://a b]c [https://d ]e", T.clean_wiki, "bc e"),
+        ("x\n\n==\ny", T.clean_wiki, "x\ny"),
+        ("a '''@b'' c", T.clean_wiki, "a @b c"),
         ("see https://a.b/c d &amp; e &#65; f &#x41; g", T.clean_web, "see d e f g"),
         ("x https://a.b/c y", T.clean_web, "x y"),
         ("write me@x.org now", T.literary_words, ["write", "now"]),
+        ("a@b.co.uk;நான்", lambda c: T.literary_words(c, TAMIL), ["நான்"]),
+        ("(க@x.com,உண்டு)", lambda c: T.literary_words(c, TAMIL), ["க", ",", "உண்டு"]),
+        ("p@q.rs_t@u.vw x@y.1 @z.com", T.literary_words, ["x", "y", "1", "z.com"]),
         ("a. b! c\n\nd", T.chunks, ["a.", "b!", "c", "d"]),
         ("a b c d\u0085e\u001cf", T.tokens, ["a", "b", "c", "d", "e", "f"]),
         (" \u001c a  ", T.strip, "a"),
