@@ -23,6 +23,7 @@ that repeat a doc_id, or have none, belong to the classes of their texts. Null d
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -141,7 +142,7 @@ def shingles(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def text_key() -> Column:
-    """128 bits of a digest of a text's words."""
+    """128 bits of a digest of a text's words; as signed() has it."""
     return F.unhex(F.substring(F.sha2(F.trim(squeezed()), 256), 1, 32))
 
 
@@ -151,13 +152,15 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i, j, buf, offs in A.slabs(batch.column(2)):
+            for i, j, buf, offs in A.slabs(batch.column(1)):
                 doc, elements, counts = shingles(buf, offs)
                 sig = signatures(doc, A.mix(elements), counts.astype(np.float64), j - i)
+                raw = buf.tobytes()
+                keys = [hashlib.sha256(A.squeeze(raw[a:b]).strip(b" ")).digest()[:16] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(band_hashes(sig).ravel()))
-                yield A.batch_of(schema, batch.column(0)[i:j], batch.column(1)[i:j], np.bincount(doc, counts, j - i).astype(np.int64), bands)
+                yield A.batch_of(schema, batch.column(0)[i:j], keys, np.bincount(doc, counts, j - i).astype(np.int64), bands)
 
-    return texts(docs).select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key binary, n_shingles long, bands array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, bands array<long>")
 
 
 def _grams(docs: DataFrame) -> DataFrame:
@@ -258,30 +261,43 @@ def _across(rows: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
     return units.join(bodies.hint("merge"), "doc_id").groupBy("bucket", "i", "j").applyInArrow(solve, "a long, b long")
 
 
-def _nodes(sigs: DataFrame) -> DataFrame:
-    """text_key, rep (its smallest doc_id), node, n, copies and bands of each text. A node is rep, or a hash where rep is null or another text's too."""
+def _nodes(sigs: DataFrame) -> tuple[DataFrame, bool]:
+    """text_key, rep (its smallest doc_id), node, n, copies and bands of each text, and whether all nodes are reps.
+
+    A node is rep, or a hash where rep is null or another text's too.
+    """
     reps = sigs.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     unclear = written(reps.groupBy("rep").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1 or rep is null").select(F.col("rep").alias("unclear"), F.lit(True).alias("met")), "unclear-ids")
     if unclear.isEmpty():
-        return reps.withColumn("node", F.col("rep"))
+        return reps.withColumn("node", F.col("rep")), True
     told = reps.join(unclear, F.col("rep").eqNullSafe(F.col("unclear")), "left")
-    return told.withColumn("node", F.when(F.col("met"), F.xxhash64("text_key")).otherwise(F.col("rep"))).drop("unclear", "met")
+    return told.withColumn("node", F.when(F.col("met"), F.xxhash64("text_key")).otherwise(F.col("rep"))).drop("unclear", "met"), False
+
+
+def _texts_of(source: DataFrame, involved: DataFrame, clear: bool) -> DataFrame:
+    """doc_id (the node) and text of the involved: node, rep, key. A doc_id's other rows are told apart by their words."""
+    plain = source.join(involved.where("node = rep").hint("merge"), F.col("doc_id") == F.col("rep")).where(text_key() == F.col("key")).select(F.col("node").alias("doc_id"), "text")
+    if clear:
+        return plain
+    # rows of null or shared doc_ids meet by their words at once
+    shared = involved.where("rep is null or node <> rep")
+    met = source.withColumn("own", text_key()).join(shared.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("own") == F.col("key")))
+    return plain.unionByName(met.select(F.col("node").alias("doc_id"), "text"))
 
 
 def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     """doc_id, text_key, class_id, class_size, kept."""
     source = texts(docs)
     sigs = written(signed(source), "signatures")
-    reps = _nodes(sigs)
+    reps, clear = _nodes(sigs)
     rows = reps.where("n > 0").select(F.col("node").alias("doc_id"), "rep", "text_key", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("centre")).where("members > 1").drop("members")
     live = written(rows.join(shared, "bucket"), "buckets")
     k = parts(live.count())
     # None of these has a proven bound, so none is broadcast at any size: plans, and what they shuffle, stay in proportion to the input.
     involved = live.select(F.col("doc_id").alias("node"), "rep", F.col("text_key").alias("key")).dropDuplicates(["node"]).coalesce(k)
-    met = source.withColumn("text_key", text_key()).join(involved.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("key")))
     live = live.drop("rep", "text_key")
-    bodies = written(_grams(met.select(F.col("node").alias("doc_id"), "text")).dropDuplicates(["doc_id"]), "shingles")
+    bodies = written(_grams(_texts_of(source, involved, clear)).dropDuplicates(["doc_id"]), "shingles")
     met = live.where("doc_id <> centre").groupBy("doc_id", "centre").agg(F.count(F.lit(1)).alias("bands")).coalesce(k)
     best = met.groupBy(F.col("doc_id").alias("a")).agg(F.max_by("centre", F.struct("bands", -F.col("centre"))).alias("b")).coalesce(k)
     links = written(_verified(best, bodies, similarity), "near-links")

@@ -1,15 +1,12 @@
-"""Reading the tables, and cutting lineage where executors can be lost."""
+"""Reading the tables, and telling their rows apart."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from py4j.protocol import Py4JError
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import shared_dir, written  # noqa: F401
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -24,46 +21,6 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: that of spark.checkpoint.dir. Only one machine's own session may do without."""
-    sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not known and not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
-    return f"{(known or 'file:///tmp/checkpoints').rstrip('/')}/millrace-{sc.applicationId}"
-
-
-def clear(root: str) -> None:
-    """Remove a session's tables; nothing reads them once it ends."""
-    gateway = SparkContext._gateway
-    if gateway is None:
-        return
-    try:
-        path = gateway.jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
-    except (Py4JError, OSError):  # the JVM has gone; the folder is left to whoever clears checkpoints
-        pass
-
-
-_ROOTS: set[str] = set()
-
-
-def written(df: DataFrame, name: str = "table", path: str | None = None, by: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: lost executors then cost a read, not the work before it.
-
-    The table stays until the driver's process ends. by: a column whose values get folders of their own.
-    """
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    if root not in _ROOTS:
-        _ROOTS.add(root)
-        atexit.register(clear, root)
-    path = path or f"{root}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(df_id, mod: int):
     """crc32 of an identifier as text, mod a number."""
     return F.crc32(df_id.cast("string").cast("binary")) % F.lit(mod)
