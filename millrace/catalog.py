@@ -27,11 +27,18 @@ def _query(sql: str | None = None):
     return register
 
 
+def _all() -> None:
+    """The modules that hold the rest of the queries; they register what they hold."""
+    from . import catalog_models, catalog_sources  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
@@ -165,9 +172,20 @@ def length_bins(spark, sf):
     return metrics.histogram(_lines(spark, sf).select(F.size(T.tokens("line")).alias("n")), "n", 0, 200)
 
 
-@_query()
+def _mtld_sql(by: str) -> str:
+    """A fold over each group's words: what has been seen since the last reset, how many words that was, and the resets."""
+    known = "list_contains(a.seen, x.seen[1])"
+    types, limit = f"(len(a.seen) + CASE WHEN {known} THEN 0 ELSE 1 END)", "CAST(0.72 AS DOUBLE)"
+    full = f"{types} / (a.n + 1) <= {limit}"
+    step = f"struct_pack(seen := CASE WHEN {full} THEN a.seen[1:0] WHEN {known} THEN a.seen ELSE list_append(a.seen, x.seen[1]) END, n := CASE WHEN {full} THEN 0 ELSE a.n + 1 END, f := CASE WHEN {full} THEN a.f + 1 ELSE a.f END)"
+    return f"""{_WITH}, w AS (SELECT {by}, flatten(list({_toks('line')} ORDER BY doc_id, line_no)) AS t FROM lines GROUP BY {by}), p AS (SELECT {by}, t FROM w UNION ALL SELECT {by}, list_reverse(t) FROM w),
+        s AS (SELECT {by}, len(t) AS total, list_reduce(list_transform(t, lambda x: struct_pack(seen := [x], n := CAST(0 AS BIGINT), f := CAST(0 AS BIGINT))), lambda a, x: {step}, struct_pack(seen := CAST([] AS VARCHAR[]), n := CAST(0 AS BIGINT), f := CAST(0 AS BIGINT))) AS s FROM p),
+        f AS (SELECT {by}, total, s.f + CASE WHEN s.n > 0 THEN (1 - len(s.seen) / s.n) / (1 - {limit}) ELSE 0 END AS factors FROM s)
+        SELECT {by}, round(avg(CASE WHEN factors > 0 THEN total / factors ELSE 0 END), 6) AS mtld FROM f GROUP BY {by}"""
+
+
+@_query(_mtld_sql("lang"))
 def mtld_by_lang(spark, sf):
-    """A fold in order, which SQL can't say; tests hold it against one."""
     return _rounded(metrics.mtld(_lines(spark, sf), "lang"), "mtld")
 
 
@@ -344,12 +362,6 @@ def page_links(spark, sf):
     return readers.page_links(_table(spark, sf, "pages"), "/", root="https://host.test")
 
 
-@_query()
-def page_lines(spark, sf):
-    """By an HTML parser; tests hold it against known pages."""
-    return _long(readers.page_lines(_table(spark, sf, "pages")), "line_no")
-
-
 # -- merge, dedup, split, sample --------------------------------------------------------------------------------
 
 _FIRST = f"{_WITH}, n AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY source, doc_id, line_no) AS k, count(*) OVER (PARTITION BY line) AS copies FROM lines)"
@@ -498,10 +510,10 @@ def boundary_cuts(spark, sf):
 _DOUBLES = "".join(f"{x}்{x} " for x in _SQL_C)
 
 
-@_query(f"""{_WITH_TAMIL}, d AS (SELECT doc_id, line_no, replace(line, ' ', '{_DOUBLES}') AS line FROM tamil) SELECT doc_id, line_no, array_to_string({_cuts_sql('line', _SQL_CORE + _SQL_AGGRESSIVE, True)}, ',') AS cuts FROM d""")
+@_query(f"""{_WITH_TAMIL}, d AS (SELECT doc_id, line_no, line || ' {_DOUBLES}' AS line FROM tamil) SELECT doc_id, line_no, array_to_string({_cuts_sql('line', _SQL_CORE + _SQL_AGGRESSIVE, True)}, ',') AS cuts FROM d""")
 def all_boundary_cuts(spark, sf):
-    """By both tiers of rules, of the lines written in Tamil letters with each doubled consonant put in."""
-    line = F.replace(_tamil("line"), F.lit(" "), F.lit(_DOUBLES))
+    """By both tiers of rules, of the lines written in Tamil letters with each doubled consonant at the end."""
+    line = F.concat(_tamil("line"), F.lit(f" {_DOUBLES}"))
     lines = _lines(spark, sf).select("doc_id", "line_no", line.alias("line"))
     return lines.select("doc_id", "line_no", F.array_join(marking.boundaries("line", marking.CORE + marking.AGGRESSIVE).cast("array<string>"), ",").alias("cuts"))
 
@@ -570,13 +582,6 @@ def _toy(spark, sf, family: str = "bert") -> tokenizers.Model:
     return tokenizers.train(family, tokenizers.word_counts(_table(spark, sf, "benchmark"), "text"), 600, unused=5)
 
 
-@_query()
-def marker_tokens(spark, sf):
-    """Marks alone and within tokens, of the lines written in Tamil letters; tests hold it against a count."""
-    lines = _lines(spark, sf).select(marking.mark(_tamil("line")).alias("line"))
-    return tokenizers.marker_usage(lines, tokenizers.train("bpe", tokenizers.word_counts(lines), 300, unused=5))
-
-
 @_query()
 def masked_rows(spark, sf):
     """Token arrays of the benchmark's texts, cut, masked and padded; the choice is a hash, the model is learnt."""

@@ -14,8 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..profiles import WS_CHARS
-
 MARK, CUT = "⟂", "\x01"
 #: Cuts of a rule in a line up to which their offsets are added up one by one.
 FEW = 64
@@ -113,7 +111,8 @@ def _python(rule: Rule) -> re.Pattern:
 _NONE = re.compile("[\x00-\u02ff]*")
 
 
-def _cutter(rules: tuple[Rule, ...]):
+def cutter(rules: tuple[Rule, ...]):
+    """A function from a text to the sorted offsets of its cuts."""
     patterns = [_python(r) for r in rules]
 
     def cuts(text: str) -> list[int]:
@@ -126,7 +125,7 @@ def _cutter(rules: tuple[Rule, ...]):
 
 def boundaries(c: Column | str, rules: tuple[Rule, ...] = CORE) -> Column:
     """Sorted distinct offsets of the cuts, in code points."""
-    cuts = _cutter(rules)
+    cuts = cutter(rules)
 
     @F.pandas_udf("array<int>")
     def found(s: pd.Series) -> pd.Series:
@@ -135,22 +134,13 @@ def boundaries(c: Column | str, rules: tuple[Rule, ...] = CORE) -> Column:
     return found(_col(c))
 
 
-def _pieces(text: Column, cuts: Column) -> Column:
-    def between(ends: Column, chars: Column) -> Column:
-        begins = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
-        return F.zip_with(begins, ends, lambda a, b: F.struct(F.array_join(F.slice(chars, a + 1, b - a), "").alias("token"), a.alias("start"), b.alias("end")))
-
-    ends = F.concat(F.filter(cuts, lambda x: (x > 0) & (x < F.length(text))), F.array(F.length(text)))
-    return _let(ends, lambda e: _let(F.split(text, ""), lambda chars: between(e, chars)))
-
-
 def _col(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
 def mark(c: Column | str, lang: Column | str | None = None, rules: tuple[Rule, ...] = CORE) -> Column:
     """The text with a mark at each cut inside it; English text as it is. unmark() undoes it."""
-    cuts = _cutter(rules)
+    cuts = cutter(rules)
 
     @F.pandas_udf("string")
     def put(s: pd.Series) -> pd.Series:
@@ -168,20 +158,26 @@ def unmark(c: Column | str) -> Column:
     return F.replace(_col(c), F.lit(MARK), F.lit(""))
 
 
-def space_boundaries(c: Column | str) -> Column:
-    """Offsets at which white space begins or ends."""
-    chars = F.split(_col(c), "")
-    ws = F.lit(WS_CHARS)
-    at = F.sequence(F.lit(1), F.greatest(F.length(_col(c)) - 1, F.lit(1)))
-    is_space = lambda x: F.instr(ws, x) > 0
-    return F.when(F.length(_col(c)) < 2, F.array().cast("array<int>")).otherwise(F.filter(at, lambda i: is_space(F.get(chars, i - 1)) != is_space(F.get(chars, i))))
+#: A change between white space and all else.
+_EDGE = re.compile(r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")
+_SPANS = "array<struct<token:string,start:int,end:int>>"
+
+
+def pieces(text: str, cuts: list[int]) -> list[tuple[str, int, int]]:
+    """The pieces between the cuts and changes of white space, and where they begin and end."""
+    ends = sorted({0, len(text), *cuts, *(m.start() for m in _EDGE.finditer(text))})
+    return [(text[a:b], a, b) for a, b in zip(ends, ends[1:])]
 
 
 def spans(c: Column | str, rules: tuple[Rule, ...] = CORE) -> Column:
     """token, start, end of the pieces between all cuts and changes of white space; together they are the text."""
-    none = F.array().cast("array<struct<token:string,start:int,end:int>>")
-    cuts = boundaries(c, rules)
-    return _let(F.struct(_col(c).alias("t"), cuts.alias("cuts")), lambda x: F.when(F.length(x.t) == 0, none).otherwise(_pieces(x.t, F.array_sort(F.array_union(x.cuts, space_boundaries(x.t))))))
+    cuts = cutter(rules)
+
+    @F.pandas_udf(_SPANS)
+    def found(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [dict(zip(("token", "start", "end"), p, strict=True)) for p in pieces(t, cuts(t))])
+
+    return found(_col(c))
 
 
 # -- graphemes ------------------------------------------------------------------------------------------------

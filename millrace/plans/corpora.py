@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import marking, text as T
@@ -76,3 +77,34 @@ def variant_report(train: DataFrame, test: DataFrame, variant: str, vocab_size:
             back = train.sparkSession.createDataFrame([(coded["text"],)], "t string")
             report["sample_text"]["decoded_restored"] = back.select(marking.restore("t", table).alias("t")).first()[0]
     return (model.relabelled(table) if v["relabel"] else model), report
+
+
+def variant_table(spark: SparkSession) -> DataFrame:
+    """The grid of variants, which of them mark boundaries (the subset that marker tables are made of), and the bucket of their reports."""
+    rows = [(name, v["family"], v["use_sandhi"], v["use_grapheme"], v["relabel"]) for name, v in marking.VARIANTS.items()]
+    table = spark.createDataFrame(rows, "variant string, family string, use_sandhi boolean, use_grapheme boolean, relabel boolean")
+    return table.withColumns({"in_subset": F.contains("variant", F.lit("sandhi")), "bucket": F.when(F.contains("variant", F.lit("grapheme")), "grapheme").otherwise("codepoint")})
+
+
+def token_lengths(spark: SparkSession, files: dict[str, DataFrame], model_of: Callable[[str], tokenizers.Model], table: dict[str, str]) -> DataFrame:
+    """Lengths in tokens of the lines of each variant that marks boundaries and has a test file: a row of statistics each. Blank lines count."""
+    out = None
+    for name, v in marking.VARIANTS.items():
+        if not v["use_sandhi"] or name not in files:
+            continue
+        shown = files[name].select(marking.preprocess("line", True, v["use_grapheme"], table).alias("line"))
+        lengths = tokenizers.encode(shown, model_of(name)).select(F.lit(name).alias("variant"), F.size("ids").cast("long").alias("n"))
+        stats = metrics.describe(lengths, "n", "variant")
+        out = stats if out is None else out.unionByName(stats)
+    if out is None:
+        raise ValueError("no variant has a test file")
+    return out
+
+
+def relabelled(spark: SparkSession, model: tokenizers.Model, table: dict[str, str], sample: str) -> tuple[tokenizers.Model, list[int]]:
+    """The model with its placeholders put back, and what it makes of a sample; a sample that it can't encode is an error."""
+    new = model.relabelled(table)
+    ids = tokenizers.encode(spark.createDataFrame([(sample,)], "line string"), new).first()["ids"]
+    if new.unk in ids:
+        raise ValueError(f"the relabelled vocabulary doesn't cover {sample!r}")
+    return new, list(ids)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import lzma
+import zipfile
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -48,6 +50,30 @@ def xz_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "source string, line string")
 
 
+def zip_members(spark: SparkSession, path: str, members: tuple[str, ...]) -> DataFrame:
+    """member and content of the named members of an archive; a missing one is an error."""
+    schema = pa.schema([("member", pa.string()), ("content", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
+                    if missing := set(members) - set(archive.namelist()):
+                        raise ValueError(f"{name.as_py()} lacks {', '.join(sorted(missing))}")
+                    for member in members:
+                        yield pa.RecordBatch.from_arrays([pa.array([member]), pa.array([archive.read(member)])], schema=schema)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "member string, content binary")
+
+
+def once(spark: SparkSession, path: str, make: Callable[[str], None]) -> str:
+    """path, made by make(path) unless a finished table is there already."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make(path)
+    return path
+
+
 def wiki_pages(spark: SparkSession, path: str, keep_ns: tuple[str, ...] = ("0",)) -> DataFrame:
     """ns and text of the pages of a dump, bz2 or plain; pages without a kept namespace are dropped, none kept means all are."""
     pages = spark.read.format("xml").option("rowTag", "page").schema(PAGE).load(path)
@@ -90,7 +116,8 @@ class _Body(HTMLParser):
             self.parts.append(data)
 
 
-def _page_lines(html: str | None) -> list[str]:
+def lines_of_page(html: str | None) -> list[str]:
+    """The lines of the text nodes of a page's body."""
     try:
         parser = _Body()
         parser.feed(html or "")
@@ -102,7 +129,7 @@ def _page_lines(html: str | None) -> list[str]:
 
 @F.pandas_udf(ArrayType(StringType()))
 def html_lines(s: pd.Series) -> pd.Series:
-    return s.map(_page_lines)
+    return s.map(lines_of_page)
 
 
 def page_lines(pages: DataFrame, profile: ScriptProfile = LATIN) -> DataFrame:

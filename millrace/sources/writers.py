@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,16 @@ def json_rows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file, from the driver."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def tokenizer(vocab: DataFrame, merges: DataFrame | None, path: str) -> None:
     vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     if merges is not None:

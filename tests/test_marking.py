@@ -65,3 +65,13 @@ def test_variants(spark):
     plain, both = M.preprocessor("01_metaspace_codepoint_bpe"), M.preprocessor("04_sandhi_grapheme_unigram", {"வு": ""})
     saved = M.preprocessor("04_sandhi_grapheme_unigram", {"வு": ""}, saved=True)
     assert rows.select(plain("t").alias("a"), both("t").alias("b"), saved("t").alias("c")).first() == ("கடவுள்அருள்", "கடள்⟂அருள்", "கடவுள்⟂அருள்")
+
+
+def test_table_functions(spark):
+    from millrace.functions import tables
+
+    tables.register(spark)
+    got = spark.sql("SELECT token, start, end FROM boundary_spans('கடவுள்அருள் x')").collect()
+    assert [tuple(r) for r in got] == [("கடவுள்", 0, 6), ("அருள்", 6, 11), (" ", 11, 12), ("x", 12, 13)]
+    assert [tuple(r) for r in spark.sql("SELECT * FROM html_lines('<body><p>a</p>b<!-- c --></body>')").collect()] == [(0, "a"), (1, "b")]
+    assert spark.sql("SELECT * FROM boundary_spans(cast(null as string))").count() == 0

@@ -117,3 +117,23 @@ def test_variant_report(spark):
     assert not any(0xE000 <= ord(c) <= 0xF8FF for t in model.vocab for c in t)
     with pytest.raises(ValueError):
         corpora.variant_report(lines, lines, "none", 60)
+
+
+def test_archives_names_and_once(spark, tmp_path):
+    import zipfile
+
+    from pyspark.errors import PythonException
+
+    from millrace.sources import names
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x.txt", "1")
+    assert readers.zip_members(spark, str(tmp_path / "a.zip"), ("x.txt",)).first() == ("x.txt", bytearray(b"1"))
+    with pytest.raises(PythonException, match="lacks y.txt"):
+        readers.zip_members(spark, str(tmp_path / "a.zip"), ("y.txt",)).collect()
+    paths = spark.createDataFrame([("/d.x/a.b.txt",), ("/d.x/a",), (".txt",)], "p string")
+    assert [r[0] for r in paths.select(names.derived("p", "_z")).collect()] == ["/d.x/a.b_z.txt", "/d.x/a_z", ".txt_z"]
+    made = []
+    for _ in range(2):
+        readers.once(spark, str(tmp_path / "o"), lambda p: (made.append(p), spark.range(1).write.parquet(p)))
+    assert len(made) == 1
