@@ -276,7 +276,9 @@ def _nodes(sigs: DataFrame) -> tuple[DataFrame, bool]:
 
 def _texts_of(source: DataFrame, involved: DataFrame, clear: bool) -> DataFrame:
     """doc_id (the node) and text of the involved: node, rep, key. A doc_id's other rows are told apart by their words."""
-    plain = source.join(involved.where("node = rep").hint("merge"), F.col("doc_id") == F.col("rep")).where(text_key() == F.col("key")).select(F.col("node").alias("doc_id"), "text")
+    # said so that it isn't taken for a key of the join, which all rows would have to be given
+    own = F.nullif(text_key(), F.col("key")).isNull()
+    plain = source.join(involved.where("node = rep").hint("merge"), (F.col("doc_id") == F.col("rep")) & own).select(F.col("node").alias("doc_id"), "text")
     if clear:
         return plain
     # rows of null or shared doc_ids meet by their words at once
