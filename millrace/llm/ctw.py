@@ -9,8 +9,8 @@ the mixture, so what is predicted stays a probability.
 
 Counts are of all training texts. Nothing is kept in one place: each chunk of documents lists its distinct
 (context, byte) strings, these are counted and weighted where they meet, by subtrees of two context bytes,
-and their code lengths return to the chunk. Only the two upper levels of the tree (at most 65,792 nodes) pass
-the driver.
+and their code lengths return to the chunk; a subtree of very many strings is dealt out by three. Only the two upper
+levels of the tree (at most 65,792 nodes) and the roots of at most a thousand such subtrees (255,000 nodes) pass the driver.
 
 Beside it, a base score of word tokens, each with one added to its count. Null texts are empty: they are an end. An
 end, byte 0, closes each text. Rows that repeat a doc_id are scored each. Empty table: no rows; no training texts:
@@ -36,6 +36,8 @@ CHUNK = 3 << 24
 #: Entries that a writer holds before it lets them go.
 ENTRIES = 2_500_000
 BREAKS = 5000
+#: Strings of a subtree of two context bytes above which it is dealt out by three; of more than a thousand times as many, a thousandth of all.
+SUBTREE = 4_000_000
 #: Keys that are worked on at a time, and bytes of text.
 BLOCK, SLAB = 200_000, 1 << 18
 WORD = A.U64(1 << 63)
@@ -166,7 +168,7 @@ class Lookup:
             self.tables.append((bits, table))
 
     def _place(self, keys, salt, bits):
-        return (A.mix(keys + A.U64(salt + 1) * A.U64(0x9E3779B97F4A7C15)) >> A.U64(64 - bits)).astype(np.int64)
+        return (A.mix(keys + A.U64((salt + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> A.U64(64 - bits)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         out, open_ = np.empty(len(keys), self.values.dtype), None
@@ -187,22 +189,40 @@ class Lookup:
         return out
 
 
+def _dealt(sizes: list[int], chunk_bytes: int) -> tuple[list[int], list[int]]:
+    """For each of adjacent ranges the chunk it belongs to, or begins with, and how many it is split into."""
+    first, parts, chunk, held = [], [], -1, chunk_bytes
+    for size in sizes:
+        split = max(1, math.ceil(size / chunk_bytes))
+        if split > 1 or held + size > chunk_bytes or chunk < 0:
+            chunk, held = chunk + 1, 0
+        first.append(chunk)
+        parts.append(split)
+        if split > 1:
+            chunk, held = chunk + split - 1, chunk_bytes
+        held += size
+    return first, parts
+
+
 def _chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """doc_id, text, held_out and chunk: ranges of doc_id of about chunk_bytes of text, so that a reader meets few chunks."""
+    """doc_id, text, held_out and chunk: ranges of doc_id of at most chunk_bytes of text, so that a reader meets few chunks.
+
+    The borders are between at most BREAKS ranges of about as many rows; a range that is too long for a chunk (by long texts, or by a
+    doc_id or null that very many rows have) is dealt over several by a hash of doc_id and text.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.percentile_approx("doc_id", [i / BREAKS for i in range(1, BREAKS)], 50_000).alias("breaks")).first()
-    chunks = max(1, math.ceil((known["bytes"] or 0) / chunk_bytes))
-    ranges = min(chunks, BREAKS)
-    cuts = [known["breaks"][i * BREAKS // ranges - 1] for i in range(1, ranges)] if known["breaks"] else []
-    split = math.ceil(chunks / BREAKS)
-    chunk = F.lit(0)
-    step = F.array(*map(F.lit, cuts)) if cuts else None
-    if step is not None:
-        chunk = F.aggregate(step, F.lit(0), lambda n, x: n + (F.coalesce(F.col("doc_id"), F.lit(0)) >= x).cast("int"))
-    if split > 1:
-        chunk = chunk * split + F.pmod(F.xxhash64("doc_id"), F.lit(split)).cast("int")
+    ranges = min(8 * max(1, math.ceil((known["bytes"] or 0) / chunk_bytes)), BREAKS)
+    cuts = sorted({known["breaks"][i * BREAKS // ranges - 1] for i in range(1, ranges)}) if known["breaks"] else []
+    place = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, x: n + (F.coalesce(F.col("doc_id"), F.lit(0)) >= x).cast("int")) if cuts else F.lit(0)
+    sizes = dict(docs.groupBy(place.alias("range")).agg(F.sum(F.octet_length("text"))).collect())  # BREAKS rows at most
+    first, parts = _dealt([sizes.get(i) or 0 for i in range(len(cuts) + 1)], chunk_bytes)
+    chunk = F.get(F.array(*map(F.lit, first)), F.col("range"))
+    if max(parts) > 1:
+        split = F.get(F.array(*map(F.lit, parts)), F.col("range"))
+        chunk = chunk + F.when(split > 1, F.pmod(F.xxhash64("doc_id", "text"), split)).otherwise(0).cast("int")
     mod, out = HELD_OUT
-    return docs.select("doc_id", "text", F.coalesce(remainder(F.col("doc_id"), mod) == out, F.lit(False)).alias("held_out"), chunk.alias("chunk"))
+    return docs.withColumn("range", place).select("doc_id", "text", F.coalesce(remainder(F.col("doc_id"), mod) == out, F.lit(False)).alias("held_out"), chunk.alias("chunk"))
 
 
 def _listed(docs: DataFrame, depth: int) -> DataFrame:
@@ -330,36 +350,61 @@ def _parcels(rows: DataFrame) -> DataFrame:
     return rows.select("chunk", "key", F.coalesce(F.col("n").cast("double"), F.col("value").cast("double")).alias("value")).mapInArrow(run, PARCEL)
 
 
-def code_lengths(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _sums_of(rows: DataFrame, context: int) -> tuple[np.ndarray, ...]:
+    """Keys of nodes with so many bits of context, and the sums of what lies below: zeros, ones, weighted log probability."""
+    key = F.shiftright("key", 8).bitwiseAND((1 << context) - 1) * 256 + F.col("key").bitwiseAND(0xFF)
+    found = rows.groupBy(key.alias("key")).agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).orderBy("key").toPandas().to_numpy()
+    found = found if len(found) else np.zeros((0, 4))
+    return found[:, 0].astype(A.U64), *found[:, 1:].astype(np.float64).T
+
+
+def _level(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, ...]:
+    own = ln_kt(zeros, ones)
+    return keys, zeros, ones, own, np.logaddexp(own, below) - math.log(2)
+
+
+def code_lengths(counts: DataFrame, depth: int = DEPTH, subtree: int = SUBTREE) -> DataFrame:
     """key and value, log10 of the probability of its last byte after the bytes before, for each string. counts: key, n."""
-    sorted_ = counts.withColumn("sub", F.shiftright("key", 8).bitwiseAND(0xFFFF).cast("int")).select("sub", "key", "n").repartition("sub").sortWithinPartitions("sub")
-    roots = pa.schema([("key", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("weighted", pa.float64())])
+    near = F.shiftright("key", 8).bitwiseAND(0xFFFF).cast("int")
+    sizes = counts.groupBy(near.alias("sub")).count()
+    most = max(subtree, (counts.count() if depth > 2 else 0) // 1000)
+    hot = [r["sub"] for r in sizes.where(F.col("count") > most).collect()] if depth > 2 else []  # a thousand at most
+    # subtrees by three bytes are told by a bit above these
+    sub = F.when(near.isin(hot), F.shiftright("key", 8).bitwiseAND(0xFFFFFF).cast("int").bitwiseOR(1 << 24)).otherwise(near) if hot else near
+    sorted_ = counts.withColumn("sub", sub).select("sub", "key", "n").repartition("sub").sortWithinPartitions("sub")
+    roots = pa.schema([("top", pa.int32()), ("key", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("weighted", pa.float64())])
 
     def upward(batches):
-        for _, key, n in _groups(batches, 3):
+        for sub, key, n in _groups(batches, 3):
+            top = 3 if sub[0] >> 24 else 2
             for places in _apart(len(key)):
-                keys, zeros, ones, _, weighted = levels(key.astype(A.U64), n, 2, depth, places)[0]
+                keys, zeros, ones, _, weighted = levels(key.astype(A.U64), n, top, depth, places)[0]
                 if len(keys):
-                    yield A.batch_of(roots, keys.astype(np.int64), zeros, ones, weighted)
+                    yield A.batch_of(roots, np.full(len(keys), top, np.int32), keys.astype(np.int64), zeros, ones, weighted)
         A.trim()
 
-    up = sorted_.mapInArrow(upward, "key long, zeros double, ones double, weighted double")
+    up = sorted_.mapInArrow(upward, "top int, key long, zeros double, ones double, weighted double")
+    if hot:
+        up = written(up, "roots")
+    two = _level(*_sums_of(up.where("top = 3"), 16)) if hot else None
     # the sums of each first context byte's nodes: 256 x 255 rows at most
-    first = up.groupBy((F.shiftright("key", 8).bitwiseAND(0xFF) * 256 + F.col("key").bitwiseAND(0xFF)).alias("key")).agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).orderBy("key").toPandas().to_numpy()
-    first = first if len(first) else np.zeros((0, 4))
-    keys, zeros, ones, below = first[:, 0].astype(A.U64), *first[:, 1:].astype(np.float64).T
-    own = ln_kt(zeros, ones)
-    one = (keys, zeros, ones, own, np.logaddexp(own, below) - math.log(2))
-    keys, zeros, ones, below = _sums(keys & A.U64(255), zeros, ones, one[4])
-    own = ln_kt(zeros, ones)
-    top = [(keys, zeros, ones, own, np.logaddexp(own, below) - math.log(2)), one]
+    one = _sums_of(up.where("top = 2"), 8)
+    if hot:
+        keys, zeros, ones, _, weighted = two
+        first = keys & A.U64(0xFFFF)
+        one = _sums(*(np.concatenate(x) for x in zip(one, (first, zeros, ones, weighted), strict=True)))
+    one = _level(*one)
+    top = [_level(*_sums(one[0] & A.U64(255), one[1], one[2], one[4])), one]
+    shared = counts.sparkSession.sparkContext.broadcast((top, [two] if hot else []))
     schema = pa.schema([("key", pa.int64()), ("value", pa.float32())])
 
     def downward(batches):
-        for _, key, n in _groups(batches, 3):
+        above, split = shared.value
+        for sub, key, n in _groups(batches, 3):
             gram, value = key.astype(A.U64), np.zeros(len(key))
+            known = above + split if sub[0] >> 24 else above
             for places in _apart(len(key)):
-                tables = top + levels(gram, n, 2, depth, places)
+                tables = known + levels(gram, n, len(known), depth, places)
                 step = BLOCK // len(places)
                 for i in range(0, len(gram), step):
                     value[i : i + step] += _mixed(gram[i : i + step], tables, places)
@@ -370,7 +415,7 @@ def code_lengths(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return sorted_.mapInArrow(downward, "key long, value float")
 
 
-def scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK) -> DataFrame:
+def scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK, subtree: int = SUBTREE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
     docs = _chunked(docs, chunk_bytes)
     listed = written(_listed(docs, depth), "strings")
@@ -378,7 +423,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK) -> Dat
     words = totals.where("key < 0")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     # code lengths travel as floats, as half of what is shuffled would be digits beyond those that count; counts stay whole
-    values = words.select("key", F.lit(None).cast("float").alias("value"), "n").unionByName(code_lengths(totals.where("key >= 0"), depth).withColumn("n", F.lit(None).cast("long")))
+    values = words.select("key", F.lit(None).cast("float").alias("value"), "n").unionByName(code_lengths(totals.where("key >= 0"), depth, subtree).withColumn("n", F.lit(None).cast("long")))
     answers = _parcels(listed.select("chunk", "key").join(values, "key")).select("chunk", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"), "n", "words", "keys", "found")
     asked = docs.select("chunk", "doc_id", "text", "held_out", F.lit(None).cast("int").alias("n"), F.lit(None).cast("boolean").alias("words"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("found"))
     met = answers.unionByName(asked).repartition("chunk").sortWithinPartitions("chunk", F.col("n").isNull())

@@ -119,10 +119,10 @@ def slow_ctw(train, texts, depth):
     return [sum(math.log10(one(g[:-1], (1 << j) | (g[-1] >> (8 - j)), (g[-1] >> (7 - j)) & 1)) for g in strings(t) for j in range(8)) for t in texts]
 
 
-@pytest.mark.parametrize("chunk_bytes", [1 << 20, 40])
-def test_context_trees_against_the_recursion(spark, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "subtree"), [(1 << 20, 1 << 20), (40, 3), (7, 1)])
+def test_context_trees_against_the_recursion(spark, chunk_bytes, subtree):
     texts = ["abracadabra", "the cat sat on the mat", "The  cat\nThe CAT", None, "", "zzz été \U0001f600", "the mat", "abra", "cadabra the", "on on on", "cat", "x y z"]
-    got = {r.doc_id: r for r in ctw.scores(cases.plain(spark, texts), 4, chunk_bytes).collect()}
+    got = {r.doc_id: r for r in ctw.scores(cases.plain(spark, texts), 4, chunk_bytes, subtree).collect()}
     raw = [(t or "").encode() for t in texts]
     held = [remainder(i, 7) == 2 for i in range(len(texts))]
     assert any(held) and [got[i].held_out for i in range(len(texts))] == held
@@ -141,6 +141,21 @@ def test_context_trees_against_the_recursion(spark, chunk_bytes):
         assert r.bits_per_byte == pytest.approx(-want[i] * math.log2(10) / (len(raw[i]) + 1), rel=1e-6)
 
 
+def test_chunks_hold_what_they_may():
+    assert ctw._dealt([3, 4, 5, 0, 30, 2, 9], 10) == ([0, 0, 1, 1, 2, 5, 6], [1, 1, 1, 1, 3, 1, 1])
+    assert ctw._dealt([0], 10) == ([0], [1]) and ctw._dealt([25], 10) == ([0], [3])
+
+
+def test_one_identifier_may_have_many_chunks(spark):
+    docs = spark.createDataFrame([(7, f"text number {i} of many") for i in range(40)] + [(None, "x y z")] * 5, "doc_id long, text string")
+    chunked = ctw._chunked(docs, 100)
+    assert chunked.select("chunk").distinct().count() > 5 and chunked.count() == 45
+    got = sorted(tuple(r) for r in ctw.scores(docs, 4, 100).where("doc_id = 7").select("n_tokens", "base_score", "score").collect())
+    want = sorted(tuple(r) for r in ctw.scores(docs, 4).where("doc_id = 7").select("n_tokens", "base_score", "score").collect())
+    assert len(got) == 40 and [x[0] for x in got] == [x[0] for x in want]
+    assert np.allclose(got, want, rtol=1e-6)
+
+
 def test_context_tree_edges(spark):
     got = ctw.scores(cases.edge(spark))
     cases.same_ids(got)
