@@ -2,7 +2,7 @@
 
 What grows with the corpus is a DataFrame: the table of distinct words and their counts, from which all else
 follows, is made by one aggregate. Learning runs over that table: the merge loop of BPE and WordPiece on the driver,
-over a stated number of distinct words; the expectation steps of Unigram on the executors, with
+in arrays, over a stated number of distinct words; the expectation steps of Unigram on the executors, with
 only the pieces' sums coming back. Metrics encode each distinct word once and weigh it by its count.
 """
 
@@ -12,10 +12,10 @@ import heapq
 import json
 import math
 from collections import defaultdict
-from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +27,7 @@ META, CONTINUES = "▁", "##"
 UNK, CLS, SEP, PAD, MASK = SPECIALS = ("[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]")
 UNUSED, VOCAB = 1000, 32_000
 #: Distinct words that the merge loop takes; more is an error, which a least count per word puts right.
-MOST_WORDS = 3_000_000
+MOST_WORDS = 16_000_000
 #: Code points of a word beyond which WordPiece gives it up.
 MOST_CHARS = 100
 #: Words that an encoder remembers in a worker.
@@ -91,104 +91,145 @@ class Model:
 # -- learning ---------------------------------------------------------------------------------------------------
 
 
-def _held(words: DataFrame, least: int, most: int) -> list[tuple[str, int]]:
-    rows = words.where(F.col("n") >= least).limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} distinct words occur {least} times; raise least or most")
-    rows = rows.sort_values("word", kind="stable")
-    return list(zip(rows["word"].tolist(), rows["n"].astype(int).tolist(), strict=True))
+class _Words:
+    """Distinct words as one array of symbols: what a driver needs of them is 40 bytes for each symbol."""
+
+    def __init__(self, words: DataFrame, least: int, most: int, within: str = ""):
+        rows = words.where((F.col("n") >= least) & (F.col("word") != "")).limit(most + 1).toPandas()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} distinct words occur {least} times; raise least or most")
+        rows = rows.sort_values("word", kind="stable")
+        texts = rows["word"].tolist()
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        self.word = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, texts), np.int64, len(texts)))
+        self.n = rows["n"].to_numpy(np.int64)
+        # within a word a symbol may have another name than at its start
+        inner = np.concatenate([[False], self.word[1:] == self.word[:-1]]) if within and len(chars) else np.zeros(len(chars), bool)
+        kinds, symbols = np.unique(chars * 2 + inner, return_inverse=True)
+        self.symbols = symbols.astype(np.int32)
+        self.names = [(within if k & 1 else "") + chr(k >> 1) for k in kinds.tolist()]
+
+    def by_count(self) -> list[str]:
+        """The symbols, the most frequent first."""
+        counts = np.bincount(self.symbols, self.n[self.word], len(self.names))
+        return [self.names[i] for i in sorted(range(len(self.names)), key=lambda i: (-counts[i], self.names[i]))]
 
 
 class _Merges:
-    """Words as lists of symbols, with pair counts that follow each merge."""
-
-    def __init__(self, words: list[tuple[list[str], int]]):
-        self.words = words
-        self.count: dict[tuple[str, str], int] = defaultdict(int)
-        self.where: dict[tuple[str, str], set[int]] = defaultdict(set)
-        self.single: dict[str, int] = defaultdict(int)
-        for i, (symbols, n) in enumerate(words):
-            for s in symbols:
-                self.single[s] += n
-            for pair in zip(symbols, symbols[1:]):
-                self.count[pair] += n
-                self.where[pair].add(i)
-
-    def merge(self, pair: tuple[str, str], new: str) -> set[tuple[str, str]]:
-        """Returns the pairs that have come; counts of others can only have fallen. where may keep words that have lost a pair."""
-        a, b = pair
-        count, where, come, times = self.count, self.where, set(), 0
-        for w in where.pop(pair):
-            symbols, n = self.words[w]
-            k = 0
-            while k < len(symbols) - 1:
-                if symbols[k] == a and symbols[k + 1] == b:
-                    symbols[k : k + 2] = [new]
-                    times += n
-                    if k:
-                        count[symbols[k - 1], a] -= n
-                        p = symbols[k - 1], new
-                        count[p] += n
-                        where[p].add(w)
-                        come.add(p)
-                    if k + 1 < len(symbols):
-                        count[b, symbols[k + 1]] -= n
-                        p = new, symbols[k + 1]
-                        count[p] += n
-                        where[p].add(w)
-                        come.add(p)
-                k += 1
-        for symbol, change in ((a, -times), (b, -times), (new, times)):
+    """Symbols of all words as linked lists in arrays, with pair counts and places that follow each merge.
+
+    A merge is a few array operations over the places of its pair, in whatever words these are.
+    """
+
+    def __init__(self, words: _Words):
+        self.names, self.id = list(words.names), {t: i for i, t in enumerate(words.names)}
+        self.symbols, self.weight = words.symbols.copy(), words.n[words.word]
+        size = len(self.symbols)
+        inside = words.word[1:] == words.word[:-1]
+        self.after, self.before = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        left = np.flatnonzero(inside).astype(np.int32)
+        self.after[left], self.before[left + 1] = left + 1, left
+        self.met = np.zeros(size, bool)
+        self.single = np.bincount(self.symbols, self.weight, len(self.names)).astype(np.int64).tolist()
+        self.count: dict[int, int] = {}
+        self.where: dict[int, list[np.ndarray]] = {}
+        self._come(self._codes(self.symbols[left], self.symbols[left + 1]), left)
+
+    @staticmethod
+    def _codes(a, b) -> np.ndarray:
+        return (np.asarray(a, np.int64) << 32) | np.asarray(b, np.int64)
+
+    def pair(self, code: int) -> tuple[str, str]:
+        return self.names[code >> 32], self.names[code & 0xFFFFFFFF]
+
+    def _come(self, codes: np.ndarray, at: np.ndarray) -> list[int]:
+        """Count pairs that have come at the places of their left symbols."""
+        order = np.argsort(codes, kind="stable")
+        codes, at = codes[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(self.weight[at], first).tolist() if len(first) else []
+        for code, n, places in zip(codes[first].tolist(), sums, np.split(at, first[1:]), strict=False):
+            self.count[code] = self.count.get(code, 0) + n
+            self.where.setdefault(code, []).append(places)
+        return codes[first].tolist()
+
+    def _gone(self, codes: np.ndarray, weight: np.ndarray) -> None:
+        kinds, back = np.unique(codes, return_inverse=True)
+        for code, n in zip(kinds.tolist(), np.bincount(back, weight, len(kinds)).astype(np.int64).tolist(), strict=True):
+            self.count[code] -= n
+
+    def merge(self, code: int, name: str) -> list[int]:
+        """Join a pair wherever it stands, from the left. Returns the pairs that have come; counts of others can only have fallen."""
+        a, b = code >> 32, code & 0xFFFFFFFF
+        if (c := self.id.get(name)) is None:
+            c = self.id[name] = len(self.names)
+            self.names.append(name)
+            self.single.append(0)
+        symbols, after, before, met = self.symbols, self.after, self.before, self.met
+        at = np.concatenate(self.where.pop(code))
+        at = at[(symbols[at] == a) & (after[at] >= 0)]
+        at = np.unique(at[symbols[after[at]] == b])  # places that have lost the pair are left out
+        if a == b and len(at) > 1:  # of a run of the same, every other one
+            start = np.flatnonzero(np.concatenate([[True], at[1:] != after[at[:-1]]]))
+            place = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+            at = at[place % 2 == 0]
+        second, left, weight = after[at], before[at], self.weight[at]
+        right = after[second]
+        met[second] = True
+        lead, follow = (left >= 0) & ~met[left], right >= 0  # what stands between two merges is counted once
+        self._gone(self._codes(symbols[left[lead]], np.full(int(lead.sum()), a)), weight[lead])
+        self._gone(self._codes(np.full(int(follow.sum()), b), symbols[right[follow]]), weight[follow])
+        met[second] = False
+        symbols[at], symbols[second], after[at] = c, -1, right
+        before[right[follow]] = at[follow]
+        met[at] = True
+        left = before[at]
+        lead = (left >= 0) & ~met[left]
+        met[at] = False
+        come = self._come(np.concatenate([self._codes(symbols[left[lead]], np.full(int(lead.sum()), c)), self._codes(np.full(int(follow.sum()), c), symbols[right[follow]])]), np.concatenate([left[lead], at[follow]]))
+        times = int(weight.sum())
+        for symbol, change in ((a, -times), (b, -times), (c, times)):
             self.single[symbol] += change
-        count.pop(pair, None)
-        come.discard(pair)
-        return come
+        self.count.pop(code, None)
+        return [x for x in come if x != code]
 
 
-def _learn_merges(words: list[tuple[list[str], int]], room: int, alphabet: Iterable[str], glue, score: str) -> tuple[list[str], list[tuple[str, str]]]:
-    """Learnt tokens and merges. Of equal scores the lesser pair comes first."""
+def _learn_merges(words: _Words, room: int, glue, score: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """Learnt tokens, the symbols first, and merges. Of equal scores the lesser pair comes first."""
     state = _Merges(words)
-    tokens, merges = dict.fromkeys(alphabet), []
+    tokens, merges = dict.fromkeys(words.by_count()[: max(0, room)]), []
 
-    def apply(pair):
+    def apply(code):
+        pair = state.pair(code)
         new = glue(*pair)
         tokens.setdefault(new)
         merges.append(pair)
-        return state.merge(pair, new)
+        return state.merge(code, new)
 
     if score == "likelihood":  # a merge raises the scores of pairs that it doesn't touch, so all are looked at
-        while len(tokens) < room and (live := [(-n / (state.single[p[0]] * state.single[p[1]]), p) for p, n in state.count.items() if n > 0]):
-            apply(min(live)[1])
+        while len(tokens) < room and (live := [(-n / (state.single[p >> 32] * state.single[p & 0xFFFFFFFF]), state.pair(p), p) for p, n in state.count.items() if n > 0]):
+            apply(min(live)[2])
         return list(tokens), merges
-    heap = [(-n, p) for p, n in state.count.items() if n > 0]
+    heap = [(-n, state.pair(p), p) for p, n in state.count.items() if n > 0]
     heapq.heapify(heap)
     while len(tokens) < room and heap:
-        value, pair = heapq.heappop(heap)
-        now = state.count.get(pair, 0)
+        value, pair, code = heapq.heappop(heap)
+        now = state.count.get(code, 0)
         if now <= 0:
             continue
         if -value != now:  # out of date
-            heapq.heappush(heap, (-now, pair))
+            heapq.heappush(heap, (-now, pair, code))
             continue
-        for p in apply(pair):
+        for p in apply(code):
             if (n := state.count.get(p, 0)) > 0:
-                heapq.heappush(heap, (-n, p))
+                heapq.heappush(heap, (-n, state.pair(p), p))
     return list(tokens), merges
 
 
-def _by_count(words: list[tuple[list[str], int]]) -> list[str]:
-    counts: dict[str, int] = defaultdict(int)
-    for symbols, n in words:
-        for s in symbols:
-            counts[s] += n
-    return sorted(counts, key=lambda s: (-counts[s], s))
-
-
 def train_bpe(words: DataFrame, vocab_size: int = VOCAB, unused: int = UNUSED, least: int = 1, most: int = MOST_WORDS) -> Model:
     """Merges of the most frequent adjacent pair, again and again."""
     first = reserved(unused)
-    rows = [(list(w), n) for w, n in _held(words, least, most)]
-    tokens, merges = _learn_merges(rows, vocab_size - len(first), _by_count(rows)[: max(0, vocab_size - len(first))], lambda a, b: a + b, "freq")
+    tokens, merges = _learn_merges(_Words(words, least, most), vocab_size - len(first), lambda a, b: a + b, "freq")
     return Model("bpe", {t: i for i, t in enumerate([*first, *tokens])}, tuple(merges))
 
 
@@ -197,8 +238,7 @@ def train_wordpiece(words: DataFrame, vocab_size: int = VOCAB, unused: int = UNU
     if score not in ("freq", "likelihood"):
         raise ValueError(f"unknown score {score!r}")
     first = reserved(unused)
-    rows = [([w[:1], *(CONTINUES + c for c in w[1:])], n) for w, n in _held(words, least, most)]
-    tokens, merges = _learn_merges(rows, vocab_size - len(first), _by_count(rows)[: max(0, vocab_size - len(first))], lambda a, b: a + b.removeprefix(CONTINUES), score)
+    tokens, merges = _learn_merges(_Words(words, least, most, CONTINUES), vocab_size - len(first), lambda a, b: a + b.removeprefix(CONTINUES), score)
     return Model("bert", {t: i for i, t in enumerate([*first, *tokens])}, tuple(merges))
 
 
