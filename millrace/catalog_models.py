@@ -221,3 +221,15 @@ def relabelled_vocabulary(spark, sf):
     model = tokenizers.Model("unigram", {t: i for i, t in enumerate([*tokenizers.reserved(0), "k", *table.values(), "▁"])}, (), {"k": -1.0, **dict.fromkeys(table.values(), -2.0), "▁": -1.5})
     new = corpora.relabelled(spark, model, table, "kx\u0301")
     return spark.createDataFrame([*(("relabelled", i, t) for t, i in new[0].vocab.items() if i > 4), *(("encoded", i, new[0].tokens[i]) for i in new[1])], "kind string, id int, token string")
+
+
+@_query()
+def grid_reports(spark, sf):
+    """All twelve variants, learnt on the benchmark's texts in Tamil letters with their vowels marked, and measured on them; learning by expectation isn't SQL."""
+    lines = _table(spark, sf, "benchmark").select(F.regexp_replace(_tamil("text"), "([கசத])", "$1\u0bbf").alias("line"))
+    rows = []
+    for name, v in marking.VARIANTS.items():
+        options = {"seed_size": 2000, "shrink": 0.5} if v["family"] == "unigram" else {}
+        _, report = corpora.variant_report(lines, lines, name, 400, unused=5, **options)
+        rows.append((name, report["vocab_size"], report["words"], report["tokens"], report["unknown"], report["fertility"]))
+    return tokenizers.leaderboard(spark.createDataFrame(rows, "variant string, vocab_size int, words long, tokens long, unknown long, fertility double"))

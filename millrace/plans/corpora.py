@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import marking, text as T
 from ..operators import corpus, metrics, tokenizers
 from ..profiles import LATIN, ScriptProfile
+from ..sources import writers
+from . import config
 
 
 def wiki_lines(pages: DataFrame, profile: ScriptProfile = LATIN) -> DataFrame:
@@ -56,9 +59,9 @@ def measure(lines: DataFrame, by: str = "source", profile: ScriptProfile = LATIN
     return {"hygiene": metrics.hygiene(lines, by, profile), "profile": lexical, "lengths": metrics.length_histogram(lines, by)}
 
 
-def variant_report(train: DataFrame, test: DataFrame, variant: str, vocab_size: int, sample: str = "", **options) -> tuple[tokenizers.Model, dict]:
-    """A variant's model, learnt on train, and its metrics on test; seconds are for the caller to take."""
-    v = marking.VARIANTS.get(variant)
+def variant_report(train: DataFrame, test: DataFrame, variant: str | dict, vocab_size: int, sample: str = "", **options) -> tuple[tokenizers.Model, dict]:
+    """A variant's model, learnt on train, and its metrics on test; seconds are for the caller to take. A variant is a name of the grid or its settings."""
+    v = variant if isinstance(variant, dict) else marking.VARIANTS.get(variant)
     if v is None:
         raise ValueError(f"unknown variant {variant!r}")
     both = train.select("line").unionByName(test.select("line"))
@@ -67,7 +70,7 @@ def variant_report(train: DataFrame, test: DataFrame, variant: str, vocab_size:
     shown = lambda df: df.select(marking.preprocess("line", v["use_sandhi"], v["use_grapheme"], table).alias("line"))
     model = tokenizers.train(v["family"], tokenizers.word_counts(shown(train)), vocab_size, **options)
     row = tokenizers.evaluate(shown(test), model).first().asDict()
-    report = {"variant": variant, "vocab_size": len(model.vocab), **row}
+    report = {"variant": v.get("name", variant), "vocab_size": len(model.vocab), **row}
     if sample:
         one = train.sparkSession.createDataFrame([(sample,)], "line string")
         coded = tokenizers.decode(tokenizers.encode(shown(one), model), model).select("line", "ids", "text").first()
@@ -79,6 +82,19 @@ def variant_report(train: DataFrame, test: DataFrame, variant: str, vocab_size:
     return (model.relabelled(table) if v["relabel"] else model), report
 
 
+def run_variants(train: DataFrame, test: DataFrame, settings: list[dict], out: str, vocab_size: int = tokenizers.VOCAB, sample: str = "", **options) -> list[dict]:
+    """The reports of all the variants; each one's tokenizer.json and metrics.json are written to a folder of its name."""
+    spark, reports = train.sparkSession, []
+    for v in settings:
+        spec = {"name": v["name"], "family": config.FAMILIES[v["model_type"]], "use_sandhi": bool(v.get("use_sandhi")), "use_grapheme": bool(v.get("use_grapheme"))}
+        spec["relabel"] = bool(v.get("relabel_vocab_after_save")) and spec["use_grapheme"]
+        model, report = variant_report(train, test, spec, vocab_size, sample, **(options if spec["family"] != "unigram" else {k: x for k, x in options.items() if k == "unused"}))
+        writers.put(spark, f"{out}/{v['name']}/tokenizer.json", tokenizers.as_json(model).encode())
+        writers.put(spark, f"{out}/{v['name']}/metrics.json", json.dumps(report, ensure_ascii=False, indent=2).encode())
+        reports.append(report)
+    return reports
+
+
 def variant_table(spark: SparkSession) -> DataFrame:
     """The grid of variants, which of them mark boundaries (the subset that marker tables are made of), and the bucket of their reports."""
     rows = [(name, v["family"], v["use_sandhi"], v["use_grapheme"], v["relabel"]) for name, v in marking.VARIANTS.items()]

@@ -195,3 +195,51 @@ def test_hygiene_of_nothing(spark):
     assert (row.total_lines, row.total_chars, row.contamination_rate, row.duplicate_ratio, row.invalid_line_rate) == (1, 0, 0.0, 0.0, 100.0)
     assert metrics.hygiene(lines.limit(0)).count() == 0
     assert lines.select(F.lit(1)).count() == 1
+
+
+CONFIG = """
+# a family
+model_type: "wordpiece"
+relabel_vocab_after_save: false   # not for this one
+
+variants:
+  - name: "01_metaspace_codepoint_bert"
+    use_sandhi: false
+    use_grapheme: false
+  - name: '04_sandhi_grapheme_unigram'
+    model_type: unigram
+    relabel_vocab_after_save: true
+    use_sandhi: true
+    use_grapheme: true
+"""
+
+
+def test_configurations():
+    from millrace.plans import config
+
+    one, two = config.variants(CONFIG)
+    assert one == {"model_type": "wordpiece", "relabel_vocab_after_save": False, "name": "01_metaspace_codepoint_bert", "use_sandhi": False, "use_grapheme": False}
+    assert two["model_type"] == "unigram" and two["relabel_vocab_after_save"] is True
+    assert config.variants(CONFIG, "04_sandhi_grapheme_unigram") == [two]
+    assert config.variants('{"model_type": "bpe", "variants": [{"name": "x"}]}') == [{"model_type": "bpe", "name": "x"}]
+    for text, only in ((CONFIG, "none"), ("model_type: x\nvariants:\n  - name: y", None), ("  a: 1", None), ("- a: 1", None), ("words", None)):
+        with pytest.raises(ValueError):
+            config.variants(text, only)
+
+
+def test_a_configuration_is_learnt_from_the_command_line(spark, tmp_path, capsys):
+    import json
+
+    from millrace.__main__ import main
+
+    (tmp_path / "c.yaml").write_text(CONFIG)
+    (tmp_path / "t.txt").write_text("கி கீ கடவுள்அருள் கி\n" * 5)
+    main(["train", "--config", str(tmp_path / "c.yaml"), "--train", str(tmp_path / "t.txt"), "--test", str(tmp_path / "t.txt"), "--out", str(tmp_path / "out"), "--vocab-size", "1030", "--sample", "கி"])
+    reports = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [r["variant"] for r in reports] == ["01_metaspace_codepoint_bert", "04_sandhi_grapheme_unigram"]
+    assert all(r["unknown"] == 0 and r["sample_text"]["raw"] == "கி" for r in reports)
+    assert json.loads((tmp_path / "out" / "01_metaspace_codepoint_bert" / "metrics.json").read_text())["fertility"] == reports[0]["fertility"]
+    tokens = Z.from_json((tmp_path / "out" / "04_sandhi_grapheme_unigram" / "tokenizer.json").read_text()).vocab
+    assert not any(0xE000 <= ord(c) < 0xF900 for t in tokens for c in t)  # put back
+    main(["queries"])
+    assert "hygiene_by_source" in capsys.readouterr().out.split()
