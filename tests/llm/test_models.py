@@ -148,7 +148,8 @@ def test_chunks_hold_what_they_may():
 
 def test_one_identifier_may_have_many_chunks(spark):
     docs = spark.createDataFrame([(7, f"text number {i} of many") for i in range(40)] + [(None, "x y z")] * 5, "doc_id long, text string")
-    chunked = ctw._chunked(docs, 100)
+    chunked, chunks = ctw._chunked(docs, 100)
+    assert chunked.where(f"chunk < 0 or chunk >= {chunks}").isEmpty()
     assert chunked.select("chunk").distinct().count() > 5 and chunked.count() == 45
     got = sorted(tuple(r) for r in ctw.scores(docs, 4, 100).where("doc_id = 7").select("n_tokens", "base_score", "score").collect())
     want = sorted(tuple(r) for r in ctw.scores(docs, 4).where("doc_id = 7").select("n_tokens", "base_score", "score").collect())
@@ -196,3 +197,81 @@ def test_a_bounded_sample_keeps_both_classes(spark, monkeypatch):
     assert len(bodies) == 40 and sum(marks) == 20
     huge = cases.plain(spark, ["x" * 9000, *["y" * 100] * 199])
     assert set(samples.labelled(huge, labels, "toxic", 4, 2)[1]) == {0, 1}
+
+
+def test_attention_scores_by_hand(spark):
+    """Scores of the query's own way against gates, shares and sums in plain loops, a document at a time."""
+    docs, labels = (spark.read.parquet(f"{LABELLED}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.fit(*quality_model.labelled(docs, labels, "quality", *quality_model.HELD_OUT))
+    some = docs.where("doc_id % 25 = 0").collect()
+    assert max(len(r.text.split()) for r in some) > 3 * quality_model.PASSAGE
+    got = {r.doc_id: r.score for r in quality_model.score(docs, model).collect()}
+    p = {k: v.tolist() for k, v in model.p.items()}
+    size = range(len(p["b"]))
+    for r in some:
+        x, owner = quality_model.passages(*A.flat(__import__("pyarrow").array([r.text])))
+        words = r.text.split()
+        assert len(owner) == max(1, -(-len(words) // quality_model.PASSAGE))
+        for k, row in enumerate(x):
+            part = words[k * quality_model.PASSAGE : (k + 1) * quality_model.PASSAGE]
+            assert row[len(quality_model._SETS) + 1] == pytest.approx(len(set(part)) / max(1, len(part)))
+        logits, codes = [], []
+        for row in x.tolist():
+            e = [min(6, max(-6, (v - m) / s)) for v, m, s in zip(row, model.mean.tolist(), model.scale.tolist(), strict=True)]
+            h = [math.tanh(sum(v * p["w"][i][j] for i, v in enumerate(e)) + p["b"][j]) for j in size]
+            t = [math.tanh(sum(h[i] * p["v"][i][j] for i in size)) for j in size]
+            s = [1 / (1 + math.exp(-sum(h[i] * p["u"][i][j] for i in size))) for j in size]
+            logits.append(sum(t[j] * s[j] * p["a"][j] for j in size))
+            codes.append(h)
+        shares = [math.exp(v - max(logits)) for v in logits]
+        z = [sum(w * h[j] for w, h in zip(shares, codes, strict=True)) / sum(shares) for j in size]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-(sum(z[j] * p["c"][j] for j in size) + p["d"]))), abs=1e-6)
+
+
+def test_string_kernel_scores_by_hand(spark):
+    """Scores of the query's own way against subsequences listed in dictionaries, a document at a time."""
+    docs, labels = (spark.read.parquet(f"{LABELLED}/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.fit(*toxicity.labelled(docs, labels, "toxic", *toxicity.HELD_OUT))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
+    high = sorted(got, key=lambda i: -got[i])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    code = lambda c: c - 96 if 97 <= c <= 122 else 27 + (c - 0x80 | 0x20) % 5 if 0x80 <= c < 0xC0 else 0
+    for i in high[:8] + high[-8:] + high[len(high) // 2 :][:8]:
+        if len(texts[i]) > 4000:
+            continue
+        buf = toxicity._FOLD[np.frombuffer(texts[i].encode(), np.uint8)]
+        a, b, _ = toxicity.units(buf, np.array([0, len(buf)]))
+        values = []
+        for s in (buf[x:y].tolist() for x, y in zip(a.tolist(), b.tolist(), strict=True)):
+            vector = {}
+            for x in range(len(s)):
+                for y in range(x + 1, len(s)):
+                    for z in range(y + 1, min(len(s), x + 11)):
+                        if code(s[x]) and code(s[y]) and code(s[z]):
+                            t = code(s[x]) << 10 | code(s[y]) << 5 | code(s[z])
+                            vector[t] = vector.get(t, 0) + 0.7 ** (z - x + 1)
+            norm = math.sqrt(sum(w * w for w in vector.values()))
+            values.append(sum(w * machine.weights[t] for t, w in vector.items()) / norm + machine.bias if norm else machine.floor)
+        row = (1.0, max([machine.floor, *values]), math.log1p(sum(v > toxicity.BAD for v in values)))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(x * y for x, y in zip(row, machine.line, strict=True)))), abs=1e-6)
+
+
+def test_labels_that_contradict_are_not_learnt(spark):
+    from millrace.llm import samples
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(8)] + [(1, "another"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (4, 1), (5, None), (None, 1), (6, 2)], "doc_id long, toxic int")
+    texts, y, counts = samples.labelled(docs, labels, "toxic", 4, 99)
+    assert (texts, y, counts) == (["another", "", "text 4"], [1, 0, 1], {1: 2, 0: 1})
+
+
+def test_long_texts_leave_room_for_both_classes(spark, monkeypatch):
+    from millrace.llm import samples
+
+    monkeypatch.setattr(samples, "BYTES", 100_000)
+    docs = spark.createDataFrame([(i, ("é" if i % 2 else "x") * (20_000 if i % 5 else 10)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    texts, y, counts = samples.labelled(docs, labels, "toxic", 4, 99)
+    assert counts == {0: 40, 1: 20} and y.count(1) >= 4 and y.count(0) >= 8
+    for k in (0, 1):
+        assert sum(len(t.encode()) for t, label in zip(texts, y) if label == k) <= 50_000

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -103,3 +104,27 @@ def test_added_tokens_as_the_library_has_them(spark):
     for r in packing.pack(cases.plain(spark, texts)).collect():
         got.setdefault(r.doc_id, []).append((r.start, r.ids))
     assert [np.frombuffer(b"".join(i for _, i in sorted(got[k])), "<u4").tolist() for k in range(len(texts))] == [[*w, 0] for w in want]
+
+
+def test_bins_hold_the_count_of_their_class():
+    """Before the rests are chained, each sequence is one full piece, or as many pieces as its class says, each of that class."""
+    rng = random.Random(4)
+    packer, closed, waste = packing.Packer(0), {}, 0
+    for i in range(3000):
+        for row in packer.add(i, np.arange(rng.choice([rng.randrange(1, 60), rng.randrange(1, 3000)]), dtype="<u4")):
+            closed.setdefault(row[4], []).append(row[2])
+    assert len(closed) > 1000
+    for lengths in closed.values():
+        waste += packing.CAPACITY - sum(lengths)
+        if lengths == [packing.CAPACITY]:
+            continue
+        m = len(lengths)
+        slot = packing.CAPACITY // m
+        assert all(n <= slot and (slot - n) * packing.WASTE <= slot for n in lengths), lengths
+    assert waste <= len(closed) * packing.CAPACITY / packing.WASTE
+    held = {m: len(pieces) for m, pieces in packer.bins.items()}
+    assert all(0 < n < m for m, n in held.items())  # an open bin lacks at least one
+    rest = {}
+    for row in packer.close():
+        rest.setdefault(row[4], []).append(row[2])
+    assert sorted(sum(x) == packing.CAPACITY for x in rest.values()).count(False) <= 1

@@ -133,3 +133,62 @@ def test_edges(spark):
     assert out.schema == docs.schema
     assert out.where("doc_id = 20").first().text == "x \U0001f600 <EMAIL>, <EMAIL>"
     assert out.where("doc_id = 2").first().text is None
+
+
+def test_recall_of_planted_disguises():
+    """Identifiers under each disguise, among words: of 3,000 planted ones 98 in a hundred are found where they stand, of each kind at least 95."""
+    rng = random.Random(12)
+    names = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    alike = str.maketrans("aeopcxACEHKMOPT", "аеорсхАСЕНКМОРТ")
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in s)
+    words = ["then", "we", "saw", "it", "again", "while", "rain", "fell", "on", "them"]
+
+    def card():
+        d = [rng.randrange(10) for _ in range(15)]
+        total = sum(x if k % 2 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(d))
+        return "".join(map(str, [*d, -total % 10]))
+
+    made = {
+        "email": [
+            lambda u, d, t: f"{u} [at] {d} [dot] {t}", lambda u, d, t: f"{u}(at){d}(dot){t}", lambda u, d, t: f"{u} at {d} dot {t}", lambda u, d, t: f"{u} AT {d} DOT {t}",
+            lambda u, d, t: f"{u}@{d}.{t}".translate(alike), lambda u, d, t: wide(f"{u}@{d}.{t}"), lambda u, d, t: f"{u} {{at}} {d}.{t}", lambda u, d, t: f"{u} @ {d}.{t}", lambda u, d, t: f"{u}​@{d}​.{t}",
+        ],
+        "ip": [lambda p: " dot ".join(p), lambda p: "[.]".join(p), lambda p: wide(".".join(p)), lambda p: ". ".join(p), lambda p: " (dot) ".join(p)],
+        "phone": [lambda d: "plus " + " ".join(names[int(c)] for c in d), lambda d: wide("+" + d), lambda d: "plus " + d, lambda d: "+" + "".join(chr(0x660 + int(c)) for c in d)],
+        "card": [lambda d: wide(d), lambda d: " ".join(names[int(c)] for c in d), lambda d: "-".join(wide(d[i : i + 4]) for i in range(0, 16, 4)), lambda d: "".join(chr(0x966 + int(c)) for c in d)],
+    }
+    found, all_ = dict.fromkeys(made, 0), dict.fromkeys(made, 0)
+    for _ in range(3000):
+        kind = rng.choice(list(made))
+        form = rng.choice(made[kind])
+        if kind == "email":
+            hidden = form(rng.choice(["jane.poe", "max_7", "cop", "a.person"]), rng.choice(["example", "mail-box", "acme"]), rng.choice(["com", "org", "de", "net"]))
+        elif kind == "ip":
+            hidden = form([str(rng.randrange(256)) for _ in range(4)])
+        else:
+            hidden = form(card() if kind == "card" else "49" + "".join(str(rng.randrange(10)) for _ in range(rng.randrange(8, 12))))
+        before = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 8))) + " "
+        text = before + hidden + " " + rng.choice(words) + "."
+        all_[kind] += 1
+        found[kind] += any(a < len(before) + len(hidden) and b > len(before) and text[a:b] == hidden for a, b in pii.find(text)[1][kind])
+    assert sum(found.values()) >= 0.98 * 3000, (found, all_)
+    assert all(found[k] >= 0.95 * all_[k] for k in made), (found, all_)
+
+
+def test_long_runs_of_digits_and_many_spans():
+    for text in ("0" * 5000 + "1.2.3.4", "1." * 3 + "0" * 6000, "9" * 9000 + ".1.1.1", "0" * 9000 + ".1.1.1"):
+        assert pii.listed(pii.base(text)) == ",".join(slow_long(text)), text[:20]
+    import time
+
+    took = []
+    for n in (4000, 16_000):
+        text = "jane at x dot org, " * 10 + "a.b@c.de " * n
+        start = time.perf_counter()
+        assert len(pii.find(text)[1]["email"]) == n + 10
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0]
+
+
+def slow_long(text):
+    """The addresses of slow(), by numbers of any length."""
+    return [f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split("."))]

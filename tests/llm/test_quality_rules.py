@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+
 from millrace.llm import quality_rules as Q
 
 from . import cases
@@ -55,3 +57,30 @@ def test_each_row_goes_by_its_own_verdict(spark):
     rows = [(1, good), (1, "too short"), (None, good), (None, "short"), (None, None), (2, good), (2, good)]
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
     assert cases.kept_rows(Q.keep(docs)) == sorted([(1, good), (None, good), (2, good), (2, good)], key=repr)
+
+
+def test_verdicts_against_exact_quantiles(spark):
+    """The sketches' fences against those of sorted values: verdicts differ nowhere but close to a fence."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = Q._judged(docs, Q.SIGNALS).toPandas()
+    fine = rows[~rows.base_failed]
+    values = {s.name: fine.eval(s.value.replace("greatest(n_words, 1)", "n_words").replace("greatest(n_lines, 1)", "n_lines").replace("greatest(word_chars, 1)", "word_chars")) for s in Q.SIGNALS}
+    inside, close = np.ones(len(fine), bool), np.zeros(len(fine), bool)
+    sizes = fine.groupby(["lang", "source"]).size(), fine.groupby("lang").size()
+    for (lang, source), at in fine.groupby(["lang", "source"]).indices.items():
+        if sizes[0][lang, source] >= Q.LEAST_GROUP:
+            group = at
+        elif sizes[1][lang] >= Q.LEAST_GROUP:
+            group = np.flatnonzero(fine.lang == lang)
+        else:
+            group = np.arange(len(fine))
+        for s in Q.SIGNALS:
+            v = values[s.name].to_numpy()
+            a, m, b = np.quantile(v[group], [0.25, 0.5, 0.75], method="inverted_cdf")
+            spread = s.reach * max(b - a, s.least)
+            inside[at] &= (v[at] <= m + spread) & (not s.both or v[at] >= m - spread)
+            near = 0.1 * spread  # a sketch's ranks are off by about one in a hundred
+            close[at] |= (np.abs(v[at] - m - spread) < near) | (s.both & (np.abs(v[at] - m + spread) < near))
+    different = inside != fine.kept.to_numpy()
+    assert not (different & ~close).any()
+    assert different.mean() < 0.002 and 0 < (~inside).sum()
