@@ -38,6 +38,8 @@ ENTRIES = 2_500_000
 BREAKS = 5000
 #: Strings of a subtree of two context bytes above which it is dealt out by three; of more than a thousand times as many, a thousandth of all.
 SUBTREE = 4_000_000
+#: Tasks that chunks are dealt to; of more chunks, each has several, one after the other.
+MOST_TASKS = 20_000
 #: Keys that are worked on at a time, and bytes of text.
 BLOCK, SLAB = 200_000, 1 << 18
 WORD = A.U64(1 << 63)
@@ -204,8 +206,8 @@ def _dealt(sizes: list[int], chunk_bytes: int) -> tuple[list[int], list[int]]:
     return first, parts
 
 
-def _chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """doc_id, text, held_out and chunk: ranges of doc_id of at most chunk_bytes of text, so that a reader meets few chunks.
+def _chunked(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """doc_id, text, held_out and chunk, and the number of chunks: ranges of doc_id of at most chunk_bytes of text, so that a reader meets few chunks.
 
     The borders are between at most BREAKS ranges of about as many rows; a range that is too long for a chunk (by long texts, or by a
     doc_id or null that very many rows have) is dealt over several by a hash of doc_id and text.
@@ -222,7 +224,8 @@ def _chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         split = F.get(F.array(*map(F.lit, parts)), F.col("range"))
         chunk = chunk + F.when(split > 1, F.pmod(F.xxhash64("doc_id", "text"), split)).otherwise(0).cast("int")
     mod, out = HELD_OUT
-    return docs.withColumn("range", place).select("doc_id", "text", F.coalesce(remainder(F.col("doc_id"), mod) == out, F.lit(False)).alias("held_out"), chunk.alias("chunk"))
+    named = docs.withColumn("range", place).select("doc_id", "text", F.coalesce(remainder(F.col("doc_id"), mod) == out, F.lit(False)).alias("held_out"), chunk.alias("chunk"))
+    return named, first[-1] + parts[-1]
 
 
 def _listed(docs: DataFrame, depth: int) -> DataFrame:
@@ -417,7 +420,7 @@ def code_lengths(counts: DataFrame, depth: int = DEPTH, subtree: int = SUBTREE)
 
 def scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK, subtree: int = SUBTREE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
-    docs = _chunked(docs, chunk_bytes)
+    docs, chunks = _chunked(docs, chunk_bytes)
     listed = written(_listed(docs, depth), "strings")
     totals = written(listed.groupBy("key").agg(F.sum("n").alias("n")), "counts")
     words = totals.where("key < 0")
@@ -426,7 +429,9 @@ def scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK, subtre
     values = words.select("key", F.lit(None).cast("float").alias("value"), "n").unionByName(code_lengths(totals.where("key >= 0"), depth, subtree).withColumn("n", F.lit(None).cast("long")))
     answers = _parcels(listed.select("chunk", "key").join(values, "key")).select("chunk", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"), "n", "words", "keys", "found")
     asked = docs.select("chunk", "doc_id", "text", "held_out", F.lit(None).cast("int").alias("n"), F.lit(None).cast("boolean").alias("words"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("found"))
-    met = answers.unionByName(asked).repartition("chunk").sortWithinPartitions("chunk", F.col("n").isNull())
+    # a chunk for each task, as far as that goes
+    tasks = min(chunks, MOST_TASKS)
+    met = answers.unionByName(asked).repartitionById(tasks, F.col("chunk") % tasks).sortWithinPartitions("chunk", F.col("n").isNull())
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], *[(c, pa.float64()) for c in ("base_score", "score", "bits_per_byte")]])
     floor = math.log10(n + v + 1)
 
