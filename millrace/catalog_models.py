@@ -233,3 +233,11 @@ def grid_reports(spark, sf):
         _, report = corpora.variant_report(lines, lines, name, 400, unused=5, **options)
         rows.append((name, report["vocab_size"], report["words"], report["tokens"], report["unknown"], report["fertility"]))
     return tokenizers.leaderboard(spark.createDataFrame(rows, "variant string, vocab_size int, words long, tokens long, unknown long, fertility double"))
+
+
+@_query()
+def baseline_fertility(spark, sf):
+    """The same metrics of a published tokenizer on the raw lines; tests hold it against the library."""
+    import public_tokenizers
+
+    return tokenizers.evaluate_other(_lines(spark, sf), public_tokenizers.path("word_bpe_49k.json"), "<|endoftext|>")

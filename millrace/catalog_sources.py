@@ -231,6 +231,19 @@ def hygiene_of_nothing(spark, sf):
     return metrics.hygiene(blank)
 
 
+@_query(f"{_WITH}, spoken AS (SELECT * FROM lines WHERE line <> ''), h AS ({_hygiene_sql('source')} GROUP BY source) SELECT source, total_lines, total_chars, {', '.join(f'round({c} / 100, 6) AS {c}' for c in _RATES)} FROM h".replace("FROM lines GROUP", "FROM spoken GROUP").replace("6) AS contamination_rate,", "9) AS contamination_rate,", 1))
+def hygiene_fractions(spark, sf):
+    """Shares instead of percentages, of the lines that aren't blank."""
+    return _rounded(metrics.hygiene(_lines(spark, sf).where("line <> ''"), percent=False), *_RATES)
+
+
+@_query(f"""{_WITH}, s AS (SELECT source, doc_id, line_no, line, 'short' AS "check" FROM lines WHERE len({_toks('line')}) < 2), k AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || source || '|' || doc_id || '|' || line_no), source, doc_id, line_no) AS k FROM s)
+    SELECT source, doc_id, line_no, "check", line FROM k WHERE k <= 20""")
+def audit_examples(spark, sf):
+    """At most twenty examples of the lines that are too short."""
+    return corpus.audit(_lines(spark, sf), most=20).where(F.col("check") == "short").select("source", "doc_id", "line_no", "check", "line")
+
+
 @_query(rf"""{_WITH} SELECT doc_id, line_no, array_to_string(regexp_extract_all(regexp_replace(replace(replace(line, 'a', 'அ'), 'e', 'ி'), '[A-Za-z]+', '', 'g'), '[\x{{0B80}}-\x{{0BFF}}]+(?:\.[\x{{0B80}}-\x{{0BFF}}]+)*|[0-9]+(?:\.[0-9]+)?|[,!?\x22\-%'']'), ' ') AS words FROM lines""")
 def fused_words(spark, sf):
     """Words whose neighbours join where foreign letters stood between them."""
@@ -240,9 +253,6 @@ def fused_words(spark, sf):
     return _lines(spark, sf).select("doc_id", "line_no", T.joined(T.extract_words(line, TAMIL, fuse=True)).alias("words"))
 
 
-_TURN_MARKED = _MARKED.replace("line", "text")
-
-
 @_query(f"""{_WITH}, c AS (SELECT unnest(regexp_extract_all({_MARKED}, '[{_VOWELS}]\\x{{0301}}')) AS cluster FROM lines WHERE lang = 'en'
     UNION ALL SELECT unnest(regexp_extract_all(regexp_replace(text, '([xyz])', '\\1' || {_ACUTE}, 'g'), '[xyz]\\x{{0301}}')) FROM conversations) SELECT DISTINCT cluster FROM c""")
 def cluster_union(spark, sf):

@@ -524,15 +524,39 @@ def decode(encoded: DataFrame, model: Model, column: str = "ids") -> DataFrame:
 def evaluate(lines: DataFrame, model: Model, column: str = "line") -> DataFrame:
     """words, tokens, unknown, fertility (tokens for each word between white space) and oov_rate in percent, of the lines that aren't blank.
 
-    One aggregate to distinct words, an encoding of each, one sum.
+    One pass over the lines: an aggregate to distinct words, which the numbers of white-space words go along with (each line's with its first
+    piece), an encoding of each, one sum.
     """
     full = lines.where(T.strip(column) != "")
-    spoken = full.agg(F.coalesce(F.sum(F.size(T.tokens(column))), F.lit(0)).alias("words"))
-    coded = encode_words(word_counts(full, column), model)
+    found = full.select(F.size(T.tokens(column)).alias("spoken"), F.posexplode(pieces(column)).alias("place", "word"))
+    kinds = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("place") == 0, F.col("spoken")).otherwise(0)).alias("spoken"))
+    coded = encode_words(kinds, model)
     unknown = F.size(F.filter("ids", lambda i: i == model.unk))
-    sums = coded.agg(F.coalesce(F.sum(F.col("n") * F.size("ids")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.col("n") * unknown), F.lit(0)).alias("unknown"))
+    return _rates(coded.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in (("words", F.col("spoken")), ("tokens", F.col("n") * F.size("ids")), ("unknown", F.col("n") * unknown))]))
+
+
+def _rates(sums: DataFrame) -> DataFrame:
     rate = lambda a, b, k: F.coalesce(F.try_divide(F.col(a) * F.lit(k), F.col(b)), F.lit(0.0))
-    return spoken.join(F.broadcast(sums)).select("words", "tokens", "unknown", rate("tokens", "words", 1.0).alias("fertility"), rate("unknown", "tokens", 100.0).alias("oov_rate"))  # two rows of sums
+    return sums.select("words", "tokens", "unknown", rate("tokens", "words", 1.0).alias("fertility"), rate("unknown", "tokens", 100.0).alias("oov_rate"))
+
+
+def evaluate_other(lines: DataFrame, path: str, unknown: str = UNK, column: str = "line") -> DataFrame:
+    """evaluate() for a tokenizer of somebody else's, of which there is a JSON file on every machine; without the tokens of a template."""
+    schema = pa.schema([("words", pa.int64()), ("tokens", pa.int64()), ("unknown", pa.int64())])
+
+    def run(batches):
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        lost = model.token_to_id(unknown)
+        for batch in batches:
+            coded = model.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
+            sums = [sum(batch.column(1).to_pylist()), sum(len(c.ids) for c in coded), sum(c.ids.count(lost) for c in coded)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in sums], schema=schema)
+
+    full = lines.where(T.strip(column) != "").select(T.strip(column).alias("line"), F.size(T.tokens(column)).alias("words"))
+    parts = full.mapInArrow(run, "words long, tokens long, unknown long")
+    return _rates(parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "tokens", "unknown")]))
 
 
 def marker_usage(lines: DataFrame, model: Model, column: str = "line") -> DataFrame:

@@ -243,3 +243,16 @@ def test_a_configuration_is_learnt_from_the_command_line(spark, tmp_path, capsys
     assert not any(0xE000 <= ord(c) < 0xF900 for t in tokens for c in t)  # put back
     main(["queries"])
     assert "hygiene_by_source" in capsys.readouterr().out.split()
+
+
+def test_a_published_tokenizer_is_measured_alike(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    texts = ["the cat sat", "", None, "  ", "on the mat, on the mat", "x" * 50]
+    path = public.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    tokens = sum(len(model.encode(t.strip(), add_special_tokens=False).ids) for t in texts if t and t.strip())
+    got = Z.evaluate_other(spark.createDataFrame([(t,) for t in texts], "line string"), path).first()
+    assert (got.words, got.tokens, got.unknown) == (10, tokens, 0) and got.fertility == pytest.approx(tokens / 10)
+    assert tuple(Z.evaluate_other(spark.createDataFrame([], "line string"), path).first()) == (0, 0, 0, 0.0, 0.0)
