@@ -39,6 +39,8 @@ BAD = 0.4
 CODES = 1 << 15
 #: Units whose values a worker remembers.
 CACHED = 2_000_000
+#: Units whose triples are listed at a time, and bytes of text: what bounds a worker.
+CHUNK, SLAB = 4_000, 1 << 20
 _LETTER = np.zeros(256, np.int64)
 _LETTER[65:91] = _LETTER[97:123] = np.arange(1, 27)
 # Second bytes of accented letters share the five codes that are left; capitals fold to small ones.
@@ -129,9 +131,9 @@ class Machine:
 
     def values(self, buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.full(len(a), self.floor)
-        for i in range(0, len(a), 20_000):
-            unit, code, weight = triples(buf, a[i : i + 20_000], b[i : i + 20_000])
-            n = min(20_000, len(a) - i)
+        for i in range(0, len(a), CHUNK):
+            unit, code, weight = triples(buf, a[i : i + CHUNK], b[i : i + CHUNK])
+            n = min(CHUNK, len(a) - i)
             norm = np.sqrt(np.bincount(unit, weight * weight, n))
             value = np.bincount(unit, weight * self.weights[code], n)
             out[i : i + n] = np.where(norm > 0, value / np.maximum(norm, 1e-12) + self.bias, self.floor)
@@ -295,11 +297,12 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     def run(batches):
         memory = _Remembered()
         for batch in batches:
-            for i, j, buf, offs in A.slabs(batch.column(1), 1 << 22):
+            for i, j, buf, offs in A.slabs(batch.column(1), SLAB):
                 buf = _FOLD[buf]
                 a, b, doc = units(buf, offs)
                 x = machine.features(doc, memory(machine, buf, a, b), j - i)
                 yield A.batch_of(schema, batch.column(0)[i:j], machine.probability(x))
+        A.trim()
 
     scored = texts(docs).mapInArrow(run, "doc_id long, score double")
     mod, out = HELD_OUT
