@@ -241,3 +241,27 @@ def baseline_fertility(spark, sf):
     import public_tokenizers
 
     return tokenizers.evaluate_other(_lines(spark, sf), public_tokenizers.path("word_bpe_49k.json"), "<|endoftext|>")
+
+
+_DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
+_COS = f"round({_DOT.format('a.embedding', 'b.embedding')} / (sqrt({_DOT.format('a.embedding', 'a.embedding')}) * sqrt({_DOT.format('b.embedding', 'b.embedding')})), 4)"
+
+
+@_query(f"SELECT a.vec_id, {_COS} AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def neighbour_similarity(spark, sf):
+    """The cosine of each vector and the next."""
+    return _neighbours(spark, sf).select("vec_id", "similarity")
+
+
+def _neighbours(spark, sf) -> DataFrame:
+    vectors = _table(spark, sf, "embeddings")
+    after = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return vectors.join(after, "vec_id").select("vec_id", F.round(modeldata.cosine("embedding", "next"), 4).alias("similarity"), F.floor(F.get("embedding", F.lit(0)).cast("double") * 50).alias("gold"))
+
+
+@_query(f"""WITH s AS (SELECT {_COS} AS x, CAST(floor(CAST(a.embedding[1] AS DOUBLE) * 50) AS BIGINT) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+    r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM s)
+    SELECT round(corr(a, b), 6) AS spearman, count(*) AS n FROM r""")
+def similarity_ranks(spark, sf):
+    """The rank correlation of these cosines and another measure with many ties."""
+    return _rounded(modeldata.spearman(_neighbours(spark, sf), "similarity", "gold"), "spearman")

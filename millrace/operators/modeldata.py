@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
 from .tokenizers import MASK, PAD, SPECIALS, Model, templated
 
 NAMES = {0: "entailment", 1: "neutral", 2: "contradiction"}
@@ -160,6 +161,43 @@ def running_best(df: DataFrame, value: str, order: str, by: str, patience: int =
     return out.withColumn("stopped", F.max((F.col("since_best") >= patience).cast("int")).over(so_far) == 1).drop("_better", "_row")
 
 
+# -- sentence similarity ----------------------------------------------------------------------------------------
+
+
+def mean_pooled(vectors: Column | str, mask: Column | str | None = None) -> Column:
+    """The mean of an array of vectors of one length, of those that a mask of 0 and 1 leaves; null without any."""
+    v = _col(vectors)
+    if mask is not None:
+        v = F.transform(F.filter(F.arrays_zip(v.alias("v"), _col(mask).alias("m")), lambda x: x.m == 1), lambda x: x.v)
+    add = lambda a, b: F.when(F.size(a) == 0, b).otherwise(F.zip_with(a, b, lambda x, y: x + y))
+    sums = F.aggregate(F.transform(v, lambda x: x.cast("array<double>")), F.array().cast("array<double>"), add)
+    return F.when(F.size(v) > 0, F.transform(sums, lambda x: x / F.size(v)))
+
+
+def cosine(a: Column | str, b: Column | str) -> Column:
+    """The cosine of two vectors of one length; 0 if one has no length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(_col(x), _col(y), lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+
+
+def ranks(df: DataFrame, value: str) -> DataFrame:
+    """value and its rank from 1, of equals the mean: distinct values are sorted by ranges, whose sizes add up to the first rank of each."""
+    kinds = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = written(kinds.repartitionByRange(value).withColumn("_range", F.spark_partition_id()), "ranks")
+    sizes = placed.groupBy("_range").agg(F.sum("_n").alias("_size"))
+    first = sizes.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    within = F.sum("_n").over(Window.partitionBy("_range").orderBy(value)) - F.col("_n")
+    # as many rows as there are ranges
+    return placed.withColumn("_within", within).join(F.broadcast(first), F.col("_range") == F.col("_of")).select(value, (F.col("_first") + F.col("_within") + (F.col("_n") + 1) / 2).alias("rank"))
+
+
+def spearman(df: DataFrame, one: str, two: str) -> DataFrame:
+    """The rank correlation of two columns, and the number of rows that have both."""
+    both = df.where(F.col(one).isNotNull() & F.col(two).isNotNull()).select(one, two)
+    out = both.join(ranks(both, one).withColumnRenamed("rank", "_a"), one).join(ranks(both, two).withColumnRenamed("rank", "_b"), two)
+    return out.agg(F.corr("_a", "_b").alias("spearman"), F.count(F.lit(1)).alias("n"))
+
+
 # -- vectors ----------------------------------------------------------------------------------------------------
 
 

@@ -81,3 +81,14 @@ def test_pairs_and_vectors(spark):
     assert sorted(r.token for r in N.bare_words(words, "t").collect()) == ["a", "b"]
     vectors = spark.createDataFrame([(1, [1.0]), (2, [float("nan")]), (3, None), (4, [float("inf")]), (5, [None])], "i int, embedding array<double>")
     assert sorted(r.i for r in N.unsound_vectors(vectors).collect()) == [2, 3, 4, 5]
+
+
+def test_similarity(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 1.0]], [0]), ([], [])], "v array<array<double>>, m array<int>")
+    got = df.select(N.mean_pooled("v", "m").alias("a"), N.mean_pooled("v").alias("b")).collect()
+    assert [r.a for r in got] == [[2.0, 3.0], None, None] and got[1].b == [1.0, 1.0]
+    pairs = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
+    assert [round(r[0], 6) for r in pairs.select(N.cosine("a", "b")).collect()] == [0.96, 0.0]
+    ties = spark.createDataFrame([(1, 5.0), (2, 5.0), (2, 7.0), (3, None), (9, 8.0)], "x int, y double")
+    assert {r.x: r["rank"] for r in N.ranks(ties, "x").collect()} == {1: 1.0, 2: 2.5, 3: 4.0, 9: 5.0}
+    assert N.spearman(ties, "x", "y").first() == (pytest.approx(0.833333, abs=1e-6), 4)
