@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .tables import remainder, written
+from .tables import remainder, texts, written
 
 DEPTH = 5
 HELD_OUT = (7, 2)
@@ -161,7 +161,7 @@ class Lookup:
         self.keys, self.values, self.tables = keys, values, []
         left = np.arange(len(keys), dtype=np.int32)
         while len(left):
-            bits = max(4, int(2 * len(left)).bit_length())
+            bits = max(4, int(1.2 * len(left)).bit_length())
             table = np.zeros(1 << bits, np.int32)
             blocks = [left[i : i + BLOCK] for i in range(0, len(left), BLOCK)]
             for block in blocks:
@@ -212,7 +212,7 @@ def _chunked(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
     The borders are between at most BREAKS ranges of about as many rows; a range that is too long for a chunk (by long texts, or by a
     doc_id or null that very many rows have) is dealt over several by a hash of doc_id and text.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.percentile_approx("doc_id", [i / BREAKS for i in range(1, BREAKS)], 50_000).alias("breaks")).first()
     ranges = min(8 * max(1, math.ceil((known["bytes"] or 0) / chunk_bytes)), BREAKS)
     cuts = sorted({known["breaks"][i * BREAKS // ranges - 1] for i in range(1, ranges)}) if known["breaks"] else []
@@ -436,35 +436,42 @@ def scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK, subtre
     floor = math.log10(n + v + 1)
 
     def run(batches):
-        chunk, keys, values, lookup = None, [], [], None
-
-        def table():
-            whole = np.concatenate(keys)
-            keys.clear()
-            out = Lookup(whole, np.concatenate(values))
-            values.clear()
+        chunk, found, lookup = None, {False: [], True: []}, None
+
+        def joined(parts, k, dtype):
+            out, at = np.empty(sum(len(p[0]) for p in parts), dtype), 0
+            for p in parts:
+                out[at : at + len(p[0])] = p[k]
+                at += len(p[0])
+                p[k] = None  # what has been copied goes
             return out
 
+        def table(words):
+            parts = found[words]
+            values = joined(parts, 1, np.float64 if words else np.float32)
+            keys = joined(parts, 0, np.uint64)
+            parts.clear()
+            return Lookup(keys, values)
+
         for batch in batches:
             of = batch.column(0).to_numpy()
             given = np.asarray(batch.column(4).is_valid())
             edges = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (given[1:] != given[:-1])])) if len(of) else []
             for a, b in zip(edges, [*edges[1:], len(of)], strict=True):
                 if of[a] != chunk:
-                    chunk, lookup = of[a], None
+                    chunk, lookup, counts = of[a], None, None
                 part = batch.slice(a, b - a)
                 if given[a]:
                     for size, words, key, value in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), part.column(6), part.column(7), strict=True):
-                        keys.append(np.cumsum(_unsqueezed(key.as_buffer(), size, np.uint64), dtype=np.uint64))
-                        values.append(_unsqueezed(value.as_buffer(), size, np.float64 if words else np.float32).astype(np.float64))
+                        found[words].append([np.cumsum(_unsqueezed(key.as_buffer(), size, np.uint64), dtype=np.uint64), _unsqueezed(value.as_buffer(), size, np.float64 if words else np.float32)])
                     continue
                 if lookup is None:
-                    lookup = table()
+                    lookup, counts = table(False), table(True)
                 for i, j, buf, offs in A.slabs(part.column(2), SLAB):
                     gram, doc = grams(buf, offs, depth)
                     score = np.bincount(doc, lookup(gram), j - i)
                     word, doc = word_keys(buf, offs)
-                    count, ends = lookup(word), lookup(np.full(j - i, END_KEY))
+                    count, ends = counts(word), counts(np.full(j - i, END_KEY))
                     tokens = np.bincount(doc, minlength=j - i) + 1
                     base = np.bincount(doc, np.log10(count + 1), j - i) + np.log10(ends + 1) - tokens * floor
                     known = np.bincount(doc, count > 0, j - i).astype(np.int64) + (ends > 0)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import texts
+from .tables import small_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -319,6 +319,7 @@ def redacted(text: str) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in text (and n_chars of the new text, where there is such a column)."""
+    small_batches(docs.sparkSession)
     schema_ = docs.schema
     at = docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .tables import apart, chosen, written
+from .tables import apart, chosen, small_batches, written
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_lines", "n_upper", "n_bangs"]
@@ -109,6 +109,7 @@ def _content(docs: DataFrame) -> Column:
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, a hash of the content, and the counts of each whole text."""
+    small_batches(docs.sparkSession)
     fields = ["doc_id", "lang", "source"]
     have = [F.col(c).cast("long" if c == "doc_id" else "string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in fields]
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("content", pa.int64()), *[(c, pa.int64()) for c in COUNTS + EXTRA]])

@@ -16,8 +16,20 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+#: What a reader and an exchange with Python hold at a time, where the session has Spark's own values, which are for short rows.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long rows: batches of few of them keep the executors' memory outside of the heap, and large arrays in it, small."""
+    for name, (usual, ours) in BATCHES.items():
+        if spark.conf.get(name, None) == usual:
+            spark.conf.set(name, ours)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever other columns there are."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -33,6 +45,7 @@ def squeezed(text: str = "text") -> Column:
 
 def apart(docs: DataFrame, key: Column) -> DataFrame:
     """_id, _key and _row: each row's doc_id, a key of what it holds, and all its columns, whatever their names."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("_id"), key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
 

@@ -92,6 +92,29 @@ def test_rows_that_share_an_identifier_or_have_none(spark):
         assert cases.kept_rows(minhash.keep(spark.createDataFrame(rows, "doc_id long, text string"))) == want
 
 
+@pytest.mark.parametrize("hub", [500, 2])
+def test_components_of_stars_chains_and_rings(spark, monkeypatch, hub):
+    from millrace.llm import graph
+
+    monkeypatch.setattr(graph, "HUB", hub)
+    rng = random.Random(3)
+    links = [(5000, i) for i in range(1000, 1040)] + [(i, i + 1) for i in range(50)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(7, 7), (900, 899), (899, 900)]
+    links += [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(90)]
+    label = {x: x for link in links for x in link}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        label[max(a, b)] = min(a, b)
+    loose = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in label if x not in loose}
+
+
 def test_coordinates_agree_as_often_as_the_weighted_similarity():
     rng = np.random.default_rng(3)
     elements = A.mix(np.arange(1, 61, dtype=A.U64))
