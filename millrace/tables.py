@@ -14,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share: that of spark.checkpoint.dir. Only one machine's own session may do without."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not known and not sc.master.startswith("local"):
+    if not known and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
         raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
     return f"{(known or 'file:///tmp/checkpoints').rstrip('/')}/millrace-{sc.applicationId}"
 
