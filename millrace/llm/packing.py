@@ -28,7 +28,8 @@ from .bpe import splitter
 from .tables import texts
 
 CAPACITY, END, WASTE = 1024, 0, 64
-#: Input bytes tokenised before their pieces leave.
+#: Tokens of the pieces that a worker holds before they leave.
+HELD = 1_000_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _ENCODERS: dict[str, Encoder] = {}
 #: The library's splitter fails on about a million white-space characters in a row; texts with runs of this length are split by bpe.splitter().
@@ -158,7 +159,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None) ->
                 ids = np.array([*code.encode_ordinary(text.as_py() or ""), END], "<u4")
                 rows += packer.add(doc_id, ids)
                 held += len(ids)
-                if held > 1_000_000 and rows:
+                if held > HELD and rows:
                     yield batch_of(rows)
                     rows, held = [], 0
         rows += packer.close()
