@@ -5,7 +5,9 @@ leftmost of equals. Adjacent windows with one anchor form a segment, so windows
 lie in have equal anchors: all comparisons can be made where an anchor's segments meet.
 
 1. Segments are dealt out by anchor. Whole segments that are equal are one string of the collection: all but the first
-   are repeats. Writers settle this for their own rows first, so copies in any number leave few rows of one anchor.
+   are repeats. Writers settle this for their own rows first, so copies in any number leave few rows of one anchor. The
+   different segments of an anchor that very many documents have (one in SHARE of a sample's segments, so no more than SHARE
+   anchors are) are dealt over DEALT tasks by their hashes; the sample decides on nothing but that.
 2. Segments that share an anchor but differ are fetched and indexed, a bounded lot of whole anchors at a time. Kept of
    the Burrows-Wheeler transform are its runs and, sampled at the run ends, the text positions on either side of each
    border and how far they agree. Streaming the text past the samples gives the matching statistics of each place:
@@ -41,6 +43,8 @@ PART = 1 << 20
 HOT, LOT = 2000, 1 << 19
 #: Segments that a writer compares with each other, and bytes of contexts it holds, before it lets them go.
 HELD, HELD_BYTES = 250_000, 1 << 21
+#: One document in so many is looked at for anchors that are dealt over several tasks; the share of segments that makes one, and those tasks.
+SAMPLE, SHARE, DEALT = 64, 2000, 256
 _PLACE = A.U64((1 << 24) - 1)
 LAST_ID = np.iinfo(np.int64).max
 
@@ -146,18 +150,30 @@ def _segment_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 MARKS = "key long, doc_id long, twin long, start int, n int, open boolean"
 
 
-def _settle(rows: DataFrame) -> DataFrame:
-    """Marks (n windows from start), and with open true segments whose anchor has other segments too. rows: segments in any order."""
+def _some(df: DataFrame) -> DataFrame:
+    """The rows of one document in SAMPLE."""
+    return df.where(F.pmod(F.xxhash64("doc_id", "twin"), F.lit(SAMPLE)) == 0)
+
+
+def _settle(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """Marks (n windows from start), and with open true segments whose anchor has other segments too, or may have. rows: segments in any order; some: those of a sample."""
     schema = _schema(MARKS)
+    counts = written(some.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("segments")), "sampled-anchors")
+    total = counts.agg(F.coalesce(F.sum("segments"), F.lit(0))).first()[0]
+    # no more than SHARE rows
+    wide = F.broadcast(counts.where(F.col("segments") > max(16, total // SHARE)).select("key", F.lit(True).alias("wide")))
+    dealt = F.when(F.col("wide"), F.pmod("seg", F.lit(DEALT))).otherwise(0)
+    rows = rows.join(wide, "key", "left").select("key", "seg", "doc_id", "twin", "start", "n", F.coalesce("wide", F.lit(False)).alias("wide"))
 
     def run(batches):
         before = None  # key, seg, doc_id, twin, start of the last segment
         held = None  # the first segment of the last key, if it is that key's only one so far
         for batch in batches:
             key, seg, doc, twin, start, n = (batch.column(i).to_numpy() for i in range(6))
+            wide = batch.column(6).to_numpy(zero_copy_only=False)
             mark = n < 0
             marks = [(key[mark], doc[mark], twin[mark], start[mark], -n[mark], np.zeros(int(mark.sum()), bool))]
-            key, seg, doc, twin, start, n = (x[~mark] for x in (key, seg, doc, twin, start, n))
+            key, seg, doc, twin, start, n, wide = (x[~mark] for x in (key, seg, doc, twin, start, n, wide))
             if len(key):
                 p = before or (~key[0], 0, 0, 0, 0)
                 pk, ps, pd, pw, pt = (np.concatenate([[v], x[:-1]]) for v, x in zip(p, (key, seg, doc, twin, start), strict=True))
@@ -171,7 +187,7 @@ def _settle(rows: DataFrame) -> DataFrame:
                 if held is not None and len(first) and prior[0]:
                     marks.append(tuple(np.array([x]) for x in (*held, True)))
                     held = None
-                opened = prior | follow
+                opened = prior | follow | wide[first]
                 at = first[opened]
                 marks.append((key[at], doc[at], twin[at], start[at], n[at], np.ones(len(at), bool)))
                 if len(first):
@@ -180,7 +196,7 @@ def _settle(rows: DataFrame) -> DataFrame:
                 before = key[-1], seg[-1], doc[-1], twin[-1], start[-1]
             yield A.batch_of(schema, *map(np.concatenate, zip(*marks, strict=True)))
 
-    return rows.repartition("key").sortWithinPartitions("key", "seg", "doc_id", "twin", "start").mapInArrow(run, MARKS)
+    return rows.repartition("key", dealt).sortWithinPartitions("key", "seg", "doc_id", "twin", "start").mapInArrow(run, MARKS)
 
 
 class RunLengthIndex:
@@ -428,9 +444,9 @@ def _index_lots(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _marks(docs: DataFrame, several: bool, length: int, grams: tuple[int, ...], hot: int) -> DataFrame:
-    rows, out = _segment_rows(docs, length, grams[0]), []
+    rows, some, out = _segment_rows(docs, length, grams[0]), _segment_rows(_some(docs), length, grams[0]), []
     for level, _ in enumerate(grams):
-        settled = written(_settle(rows), "segments")
+        settled = written(_settle(rows, some), "segments")
         out.append(settled.where("not open").select("doc_id", "twin", "start", "n"))
         unsure = settled.where("open").select("key", "doc_id", "twin", "start", "n")
         # of the windows themselves no two segments of an anchor differ
@@ -443,7 +459,8 @@ def _marks(docs: DataFrame, several: bool, length: int, grams: tuple[int, ...],
         out.append(_index_lots(found, length))
         if not any_hot:
             break
-        rows = _anchored_again(docs, unsure.join(many, "key", "left_semi"), several, length, grams[level + 1])
+        again = unsure.join(many, "key", "left_semi")
+        rows, some = (_anchored_again(f(docs), f(again), several, length, grams[level + 1]) for f in (lambda df: df, _some))
     marks = out[0]
     for more in out[1:]:
         marks = marks.unionByName(more)

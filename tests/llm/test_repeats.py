@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import repeats
 
@@ -41,9 +42,10 @@ def test_against_a_dictionary(spark, sf):
     assert any(v[2] for v in want)
 
 
-@pytest.mark.parametrize("hot", [2000, 8, 2])
-def test_repetitive_texts(spark, hot):
-    """Anchors of too many segments are anchored again, once and twice; the result is the same."""
+@pytest.mark.parametrize(("hot", "sample"), [(2000, 64), (8, 2), (2, 1)])
+def test_repetitive_texts(spark, monkeypatch, hot, sample):
+    """Anchors of too many segments are anchored again, once and twice, and such as are everywhere are dealt over tasks; the result is the same."""
+    monkeypatch.setattr(repeats, "SAMPLE", sample)
     rng = random.Random(hot)
     parts = ["".join(rng.choice("ab é") for _ in range(rng.randrange(5, 60))) for _ in range(12)]
     rows = [("".join(rng.choice(parts) for _ in range(rng.randrange(12)))) for _ in range(60)] + ["ab" * 300, "ab" * 300, "a" * 500, "xa" + "a" * 200]
@@ -109,3 +111,22 @@ def test_statistics_are_those_of_sorted_suffixes():
             assert agree[b] == n and above[b] == a
         before = [0 if text[i - 1] < 100 else text[i - 1] for i in order]
         assert [h for h in range(len(order)) if h == 0 or before[h] != before[h - 1] or not before[h]] == index.heads.tolist()
+
+
+def test_an_anchor_of_most_documents_is_dealt_over_tasks(spark, monkeypatch):
+    """One phrase in ever new surroundings, and copies among them."""
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefghijkl") for _ in range(n))
+    phrase = "the phrase that all of these documents have, word for word"
+    rows = [some(70) + phrase + some(70) for _ in range(150)]
+    rows += [rows[3], rows[7][20:], some(30) + rows[9][40:160]]
+    docs = cases.plain(spark, rows)
+    keyed, _ = repeats.keyed(docs)
+    found = repeats._segment_rows(keyed, 100, 40)
+    settled = repeats._settle(found, found)
+    most = found.where("n > 0").groupBy("key").agg(F.count_distinct("seg").alias("n")).orderBy(F.desc("n")).first()
+    assert most.n > 40  # all of them open, whatever task they came to
+    assert settled.where(F.col("open") & (F.col("key") == most.key)).count() == most.n
+    for hot in (2000, 20):
+        assert told(repeats.digests(repeats.cut(docs, hot=hot))) == slow(list(enumerate(rows)))
