@@ -12,7 +12,7 @@ the sum of the lesser counts over the sum of the greater ones is 0.8 or more.
 
 Signatures are banded; documents that share a band are candidates. Each document is first compared with the
 centre (the smallest identifier) that it shares most bands with. What these links leave in several components
-within a bucket is compared there, in blocks of bounded size, by exact intersections of the shingle sets; only
+within a bucket is compared there, in blocks of bounded size, by exact intersections of the bags of shingles; only
 links between components leave a block. So no link is lost to a cap, and no pairs are listed.
 
 A document's words are the runs without ASCII white space, its shingles are its runs of five
@@ -67,6 +67,8 @@ def _darts(elements: np.ndarray, weights: np.ndarray, top: np.ndarray, k: int):
             if RANKS[r] >= most_rank:
                 break
             at = np.flatnonzero((top > RANKS[r]) & (weights > WEIGHTS[w]))
+            if not len(at):  # else the cell is no larger than a document's region: its rank limit falls with its weight
+                continue
             height, width = RANKS[r + 1] - RANKS[r], WEIGHTS[w + 1] - WEIGHTS[w]
             seed = A.mix(np.array([w * 1000 + r + 1], A.U64))[0]
             cell = A.mix(elements[at] ^ seed)

@@ -126,3 +126,17 @@ def test_coordinates_agree_as_often_as_the_weighted_similarity():
     one = np.ones(60)
     sig = minhash.signatures(np.repeat([0, 1], [60, 30]), np.concatenate([elements, elements[:30]]), one.repeat(2)[:90], 2, 4000)
     assert (sig[0] == sig[1]).mean() == pytest.approx(0.5, abs=0.03)
+
+
+def test_heavy_and_light_documents_of_a_slab_take_little():
+    import tracemalloc
+
+    elements = A.mix(np.arange(1, 12, dtype=A.U64))
+    weights = np.array([3e6, 1.0, *[1.0] * 9])
+    tracemalloc.start()
+    sig = minhash.signatures(np.array([0, 1, *[2] * 9]), elements, weights, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
+    alone = [minhash.signatures(np.zeros(len(e), np.int64), e, w, 1)[0] for e, w in ((elements[:1], weights[:1]), (elements[1:2], weights[1:2]), (elements[2:], weights[2:]))]
+    assert (sig == np.stack(alone)).all()
