@@ -41,6 +41,18 @@ def test_pages(spark):
     assert [r.line for r in readers.page_lines(pages).collect()] == ["One", "One", "no", "Hello , world"]
 
 
+def test_a_reference_ends_with_its_sign(spark):
+    pages = spark.createDataFrame([(1, "u", "<body><p>eau&amp;&amp</p><p>a &quot b &quot; c&am</p></body>")], "page_id long, url string, html string")
+    assert [r.line for r in readers.page_lines(pages).collect()] == ["eau amp", 'a quot b " c am']
+
+
+def test_a_page_is_read_or_is_an_error():
+    assert readers.lines_of_page("<body><p>a</p><![foo]><p>b</p><![%x]]><p>c</p></body>") == ["a", "b", "c"]
+    assert readers.lines_of_page("<body>a<![CDATA[b]]>c</body>") == ["a", "c"]
+    with pytest.raises(TypeError):
+        readers.lines_of_page(7)
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "dev.json").write_text(json.dumps({"validation": [{"premise": "p", "hypothesis": "h", "label": 2}]}))
     assert readers.pair_rows(spark, str(tmp_path / "dev.json"), "validation").first() == ("p", "h", 2)
