@@ -84,6 +84,17 @@ def test_merges_follow_the_definition(words, family):
     assert list(model.merges) == merges
 
 
+@pytest.mark.parametrize("family, options", [("bpe", {}), ("bert", {}), ("bert", {"score": "likelihood"})])
+def test_words_dealt_over_tasks_give_the_same_merges(spark, monkeypatch, family, options):
+    rng = random.Random(4)
+    words = spark.createDataFrame([("▁" + "".join(rng.choices("aaabbcdé😀", k=rng.randrange(9))) + str(i % 7), 1 + i % 5) for i in range(400)], "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    alone = Z.train(family, words, 80, unused=2, **options)
+    monkeypatch.setattr(Z, "DRIVER_SYMBOLS", 0)
+    monkeypatch.setattr(Z, "TASK_WORDS", 100)
+    assert Z.train(family, words, 80, unused=2, **options) == alone and len(alone.merges) > 50
+    assert Z.train(family, words, 12, unused=2, **options) == Z.Model(family, dict(list(alone.vocab.items())[:12]))
+
+
 def test_likelihood_prefers_what_stands_together(spark):
     words = spark.createDataFrame([("ab", 9), ("ac", 9), ("qz", 2)], "word string, n long")
     first = Z.train_wordpiece(words, 12, unused=1, score="likelihood").merges[0]
