@@ -200,6 +200,17 @@ def test_mtld_against_its_definition(spark):
         assert got[s] == pytest.approx((one(tokens) + one(tokens[::-1])) / 2)
 
 
+@pytest.mark.parametrize("head", [0, 3, 60, 4096])
+def test_mtld_in_parts_is_the_fold(spark, head):
+    rng = random.Random(2)
+    kinds = {"a": lambda i: f"w{rng.randrange(40)}", "b": lambda i: f"w{i}", "c": lambda i: f"w{i if 300 < i < 900 else i % 3}", "d": lambda i: "same", None: lambda i: f"w{rng.randrange(400)}"}
+    rows = [(s, d, 0, " ".join(make(9 * d + j) for j in range(9))) for s, make in kinds.items() for d in range(200)] + [("e", 0, 0, "")]
+    got = {r.source: r.mtld for r in metrics.mtld(spark.createDataFrame(rows, "source string, doc_id long, line_no long, line string"), head=head).collect()}
+    for s in (*kinds, "e"):
+        tokens = [t for r in rows if r[0] == s for t in r[3].split()]
+        assert got[s] == pytest.approx((metrics.mtld_pass(tokens) + metrics.mtld_pass(tokens[::-1])) / 2)
+
+
 def test_hygiene_of_nothing(spark):
     lines = spark.createDataFrame([("s", 0, 0, "")], "source string, doc_id long, line_no long, line string")
     row = metrics.hygiene(lines).first()
