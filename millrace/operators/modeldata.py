@@ -54,8 +54,9 @@ def masked(rows: DataFrame, model: Model, share: float = 0.15, epoch: int = 0, s
     draw = lambda i, salt: F.pmod(F.xxhash64(F.col(key), i, F.lit(epoch), F.lit(seed), F.lit(salt)), F.lit(1_000_000)) / 1e6
     hidden = lambda x, i: ~x.isin(*special) & (draw(i, "pick") < share)
     new = lambda x, i: F.when(draw(i, "kind") < 0.8, F.lit(model.vocab[MASK])).when(draw(i, "kind") < 0.9, F.pmod(F.xxhash64(F.col(key), i, F.lit(epoch), F.lit(seed)), F.lit(size)).cast("int")).otherwise(x)
-    labels = F.transform("input_ids", lambda x, i: F.when(hidden(x, i), x).otherwise(F.lit(-100)))
-    return rows.withColumn("labels", labels).withColumn("input_ids", F.transform("input_ids", lambda x, i: F.when(hidden(x, i), new(x, i)).otherwise(x)))
+    out = rows.withColumn("labels", F.transform("input_ids", lambda x, i: F.when(hidden(x, i), x).otherwise(F.lit(-100))))
+    # what is hidden was drawn above; a label is the token that was there
+    return out.withColumn("input_ids", F.transform("labels", lambda y, i: F.when(y == -100, F.get("input_ids", i)).otherwise(new(y, i))))
 
 
 def padded(rows: DataFrame, model: Model, batch: str = "batch") -> DataFrame:
