@@ -75,3 +75,13 @@ def test_table_functions(spark):
     assert [tuple(r) for r in got] == [("கடவுள்", 0, 6), ("அருள்", 6, 11), (" ", 11, 12), ("x", 12, 13)]
     assert [tuple(r) for r in spark.sql("SELECT * FROM html_lines('<body><p>a</p>b<!-- c --></body>')").collect()] == [(0, "a"), (1, "b")]
     assert spark.sql("SELECT * FROM boundary_spans(cast(null as string))").count() == 0
+
+
+def test_equal_runs_are_cut_as_the_text_is_and_pieces_tile_it():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(WORDS) if rng.random() < 0.4 else rng.choice(CHARS + "😀.") for _ in range(rng.randrange(25))) for _ in range(2000)] + [""]
+    for rules in (M.CORE, M.AGGRESSIVE, M.CORE + M.AGGRESSIVE):
+        cuts, patterns = M.cutter(rules), [M._python(r) for r in rules]
+        assert [cuts(t) for t in texts] == [sorted({m.start("r") for p in patterns for m in p.finditer(t)}) for t in texts]
+        got = M._tiled(texts, cuts).to_pylist()
+        assert [[(x["token"], x["start"], x["end"]) for x in one] for one in got] == [M.pieces(t, cuts(t)) for t in texts]
