@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import catalog
 from millrace.functions import text as T
 from millrace.operators import corpus
 from millrace.profiles import LATIN, TAMIL
@@ -80,3 +81,46 @@ def test_threshold_is_below_when_less(spark):
     got = corpus.route_ratio(lines, TAMIL).orderBy("line_no").collect()
     assert [r["verdict"] for r in got] == ["above", "below", "below"]
     assert LATIN.name == "latin"
+
+
+ODD = [None, "", " ", "\u001c\u0085　", "கி.மீ abc 3.14 , x!", "அ . ஆ", "கxக", "a.b..c. .d 1.2.3 \"'-%", "அ b\u001dஆ1.5கd", "ÿé×÷ß", "𝒜 अ é é ௦௧ 12௦", "அ" * 200 + "x." + "1" * 200, "x" * 5000, "a\rb\x0bc​d e﻿\x00f", "cat dog cat cat dog"]
+
+
+@pytest.mark.parametrize("profile", [TAMIL, LATIN])
+def test_words_and_ratio_are_those_of_the_functions(spark, profile):
+    rows = spark.createDataFrame([(t,) for t in ODD], "t string")
+    got = rows.select("t", T.words_and_ratio("t", profile).alias("f"), T.joined(T.extract_words("t", profile)).alias("words"), T.content_ratio("t", profile).alias("ratio")).collect()
+    assert len(got) == len(ODD)
+    for r in got:
+        assert tuple(r.f) == (r.words, r.ratio), r.t
+
+
+def test_tokens_are_remembered_within_bounds(monkeypatch):
+    known, long = T._Tokens(TAMIL, str.maketrans({"d": "கள்"})), "d" * 65
+    first = {"d1x", "x", long}
+    known.meet(first)
+    assert known.words == {"d1x": "கள் 1", "x": "", long: "கள்" * 65} and known.real == {"d1x", long}
+    known.forget(first)
+    assert known.words == {"d1x": "கள் 1", "x": ""} and known.real == {"d1x"}
+    monkeypatch.setattr(known, "strip", None)  # what is known isn't looked at again
+    with pytest.raises(AttributeError):
+        known.meet({"y"})
+    monkeypatch.undo()
+    monkeypatch.setattr(T, "REMEMBERED", 1)
+    known.meet({"d"})
+    assert known.words == {"d": "கள்"} and known.real == {"d"}
+    known.meet(set())
+    assert known.words == {"d": "கள்"}
+
+
+def test_a_line_is_shown_and_split_once(spark, sf):
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan(catalog.queries()["tamil_words"](spark, sf)).count("translate(") <= 1
+    assert plan(spark.createDataFrame([("a",)], "t string").select(T.content_ratio("t").alias("r"))).count("split(coalesce(t") == 1
+
+
+def test_tamil_letters_are_the_same_in_python(spark):
+    text = "aeioukctpnmrlysd is SAD ஸ"
+    assert value(spark, text, catalog._tamil) == text.translate(catalog._TO_TAMIL)
