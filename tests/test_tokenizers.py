@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import catalog
 from millrace.functions import marking
 from millrace.operators import metrics, tokenizers as Z
 
@@ -278,3 +279,31 @@ def test_a_published_tokenizer_is_measured_alike(spark):
     got = Z.evaluate_other(spark.createDataFrame([(t,) for t in texts], "line string"), path).first()
     assert (got.words, got.tokens, got.unknown) == (10, tokens, 0) and got.fertility == pytest.approx(tokens / 10)
     assert tuple(Z.evaluate_other(spark.createDataFrame([], "line string"), path).first()) == (0, 0, 0, 0.0, 0.0)
+
+
+def test_metrics_of_distinct_words_are_those_of_the_lines(spark):
+    lines = spark.createDataFrame([(t,) for t in (None, "", "  ", "the cat,, the\tcat", "a\u0085b  the", " the\u2003x é", "x" * 120, "\u001cthe..")], "line string")
+    words = Z.word_counts(lines)
+    for family in Z.FAMILIES:
+        model = Z.train(family, words, 40, unused=0)
+        small = Z.Model(family, {t: i for i, t in enumerate(model.tokens[:12])}, model.merges, {t: s for t, s in model.scores.items() if t in model.tokens[:12]})
+        for m in (model, small):
+            assert Z.evaluate_counts(words, m).first() == Z.evaluate(lines, m).first()
+    assert Z.evaluate_counts(words.limit(0), model).first() == Z.evaluate(lines.limit(0), model).first()
+
+
+def test_a_written_table_of_words_is_dealt_over_tasks(spark, tmp_path):
+    spark.range(5000).selectExpr("concat('w', id) AS word", "id + 1 AS n").coalesce(1).write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    assert words.rdd.getNumPartitions() == 1
+    dealt = Z._spread(words)
+    assert dealt.rdd.getNumPartitions() == min(5, Z._slots(spark)) and dealt.count() == 5000
+    assert Z._spread(words.limit(10)).rdd.getNumPartitions() == 1
+
+
+def test_variants_share_their_tables_of_words(spark, monkeypatch):
+    made = []
+    counts = Z.word_counts
+    monkeypatch.setattr(Z, "word_counts", lambda lines: made.append(1) or counts(lines))
+    assert catalog.queries()["grid_reports"](spark, "/root/testdata/sf0.001").count() == 12
+    assert len(made) == 4
